@@ -18,6 +18,7 @@ characters of the C1 range) is named, with what can be restored restored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -68,24 +69,29 @@ def _cells(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (mixed ^ (mixed >> 17)) & (PAIRS - 1), PAIRS + (((mixed >> 9) * np.int64(0x9E3779B1) >> 21) & (PAIRS - 1))
 
 
+@lru_cache(None)
+def _masks() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code point -> bit per encoding: it stands for a byte that leads two, leads three, follows in UTF-8."""
+    two, three, tail = (np.zeros(0x10000, np.uint8) for _ in range(3))
+    for bit, codec in enumerate(("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r")):
+        b = byte_table(codec)
+        two |= ((b >= 0xC2) & (b <= 0xDF)).astype(np.uint8) << bit
+        three |= ((b >= 0xE0) & (b <= 0xEF)).astype(np.uint8) << bit
+        tail |= ((b >= 0x80) & (b <= 0xBF)).astype(np.uint8) << bit
+    return two, three, tail
+
+
 def betrayed(p: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Which lines of the joined text (``starts``: where each begins) show a wrong decoding by their bytes alone."""
     q = np.where(p < 0x10000, p, 0)
-    line = np.zeros(len(p), np.int64)
-    line[starts[1:]] = 1
-    line = np.cumsum(line)
-    n = len(starts)
+    two, three, tail = _masks()
+    follows = tail[q]
+    bad = (p == 0xFFFD) | ((p >= 0x80) & (p <= 0x9F))
+    bad[:-1] |= (two[q[:-1]] & follows[1:]) > 0
+    bad[:-2] |= (three[q[:-2]] & follows[1:-1] & follows[2:]) > 0
     high = ((p >= 0xA1) & (p <= 0xFF)) | ((p >= 0x2500) & (p <= 0x257F))
-    dark = np.bincount(line, p > 32, n)
-    bad = np.bincount(line, high, n) > 0.3 * dark
-    bad |= np.bincount(line, (p == 0xFFFD) | ((p >= 0x80) & (p <= 0x9F)), n) > 0
-    for codec in ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r"):
-        b = byte_table(codec)[q]
-        tail = (b >= 0x80) & (b <= 0xBF)
-        two = (b[:-1] >= 0xC2) & (b[:-1] <= 0xDF) & tail[1:]
-        three = (b[:-2] >= 0xE0) & (b[:-2] <= 0xEF) & tail[1:-1] & tail[2:]
-        bad |= np.bincount(line[:-1], two, n) + np.bincount(line[:-2], three, n) > 0
-    return bad
+    dense = np.add.reduceat(high, starts, dtype=np.int64) > 0.3 * np.add.reduceat(p > 32, starts, dtype=np.int64)
+    return dense | np.logical_or.reduceat(bad, starts)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,20 +119,19 @@ class Model:
     """Pair scores of a corpus."""
 
     def __init__(self, cells: np.ndarray, n: np.ndarray):
-        pairs, single = np.zeros(2 * PAIRS, np.float32), np.zeros(POINTS, np.float32)
+        pairs, single = np.zeros(2 * PAIRS), np.zeros(POINTS)
         pairs[cells[cells >= 0]] = n[cells >= 0]
         single[-1 - cells[cells < 0]] = n[cells < 0]
-        self.total = max(1.0, float(pairs[:PAIRS].sum(dtype=float)))
-        self.known = max(LEAST, SUPPORT * self.total)
-        self.pairs, self.logs = pairs, np.log(single + 1.0)
+        total = max(1.0, float(pairs[:PAIRS].sum()))
+        self.known = np.float32(np.log(max(LEAST, SUPPORT * total) + 0.1))
+        self.total = np.float32(np.log(total))
+        self.pairs, self.logs = np.log(pairs + 0.1).astype(np.float32), np.log(single + 1.0).astype(np.float32)
 
     def scores(self, p: np.ndarray) -> np.ndarray:
         """Mutual information of each adjacent pair of ``p``, in nats; improbable without support."""
         one, two = _cells(p)
-        n = np.minimum(self.pairs[one], self.pairs[two])
-        out = np.log(n + 0.1) + np.log(self.total) - self.logs[p[:-1]] - self.logs[p[1:]]
-        return np.where(n >= self.known, np.maximum(out, -4.0), IMPROBABLE)
-
+        n, log = np.minimum(self.pairs[one], self.pairs[two]), self.logs[p]
+        return np.where(n >= self.known, np.maximum(n + self.total - log[:-1] - log[1:], np.float32(-4.0)), np.float32(IMPROBABLE))
 
 
 def fit(texts: DataFrame) -> Model:
@@ -137,7 +142,7 @@ def fit(texts: DataFrame) -> Model:
 
 def _segments(p: np.ndarray, score: np.ndarray) -> list[tuple[int, int]]:
     """Maximum-scoring runs [from, to) of characters, over lines joined by LF."""
-    x = -score
+    x = -score.astype(np.float64)
     plain = (p[:-1] < 128) & (p[1:] < 128)
     x[plain] = np.minimum(x[plain], 0.0) - 0.5  # two ASCII characters tell nothing
     x[(p[:-1] == 10) | (p[1:] == 10)] = -1e4
@@ -156,49 +161,64 @@ def _segments(p: np.ndarray, score: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
-def _undo(text: str, wrong: str, right: str) -> str | None:
-    """``text`` with its high characters taken back to bytes and read as ``right``; None if that can't be."""
-    if wrong in WIDE:
-        try:
-            return text.encode(wrong).decode(right)
-        except (UnicodeEncodeError, UnicodeDecodeError):
-            return None
-    table = byte_table(wrong)
-    b = [table[ord(c)] if ord(c) < 0x10000 else -1 for c in text]
-    out, i, n, changed = [], 0, len(text), 0
-    while i < n:
-        if b[i] < 0:
-            out.append(text[i])
-            i += 1
-            continue
-        j = i
-        while j < n and b[j] >= 0:
-            j += 1
-        raw = bytes(int(x) for x in b[i:j])
+_UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+_CJK = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uff61-\uff9f]")
+_BAD = re.compile("[\x7f-\x9f\ufffd\ue000-\uf8ff]")
+
+
+def _as_utf8(text: str, raw: str) -> tuple[str, int]:
+    """``text`` with the valid multi-byte sequences of ``raw`` (its bytes as characters) read; how many characters they cover."""
+    out, at, covered = [], 0, 0
+    for m in _UTF8.finditer(raw):
         try:
-            new = raw.decode(right)
-            changed += new != text[i:j]
+            new = m.group().encode("latin_1").decode("utf_8")
         except UnicodeDecodeError:
-            if right != "utf_8":
-                return None
-            new = ""
-            k = 0
-            while k < len(raw):
-                size = 1 if raw[k] < 0xC2 or raw[k] > 0xF4 else 2 if raw[k] < 0xE0 else 3 if raw[k] < 0xF0 else 4
+            continue
+        out += [text[at : m.start()], new]
+        at = m.end()
+        covered += at - m.start()
+    return "".join([*out, text[at:]]), covered
+
+
+def _readings(text: str, tried: tuple[tuple[str, str], ...] = ()) -> list[tuple[str, bool, tuple[str, str]]]:
+    """Inverse mappings of ``text``: (reading, it is whole UTF-8, (wrong, right)); ``tried``: only these."""
+    p = _points(text)
+    high = (p > 127) & (p < 0x10000)
+    n = int(high.sum())
+    out: dict[str, tuple[bool, tuple[str, str]]] = {}
+    whole = False
+    for wrong in dict.fromkeys(w for w, _ in tried) if tried else WRONG:
+        if wrong in WIDE:
+            if n >= 4 and not whole and _CJK.search(text):
                 try:
-                    one = raw[k : k + size].decode("utf_8") if size > 1 else None
+                    out.setdefault(text.encode(wrong).decode("utf_8"), (True, (wrong, "utf_8")))
+                except (UnicodeEncodeError, UnicodeDecodeError):
+                    pass
+            continue
+        b = byte_table(wrong)[np.where(p < 0x10000, p, 0)]
+        lost = int((b[high] < 0).sum())
+        if lost * 3 > n:
+            continue
+        raw = np.where(b < 0, 256, b).astype(np.uint16).tobytes().decode("utf_16_le")
+        if not tried or (wrong, "utf_8") in tried:
+            new, covered = _as_utf8(text, raw)
+            if covered:
+                whole |= covered >= n
+                out.setdefault(new, (covered >= n, (wrong, "utf_8")))
+        if lost or n < 3 or whole:
+            continue
+        data = raw.encode("latin_1")
+        for right in RIGHT[1:]:
+            if right == wrong or tried and (wrong, right) not in tried or right in WIDE and n < 4:
+                continue
+            for a, z in ((0, 0), (1, 0), (0, 1), (1, 1)) if right in WIDE else ((0, 0),):  # a character may be cut at the ends
+                try:
+                    new = data[a : len(data) - z].decode(right)
                 except UnicodeDecodeError:
-                    one = None
-                if one and len(one) == 1:
-                    new += one
-                    changed += 1
-                    k += size
-                else:
-                    new += text[i + k]
-                    k += 1
-        out.append(new)
-        i = j
-    return "".join(out) if changed else None
+                    continue
+                out.setdefault(text[:a] + new + text[len(text) - z :], (False, (wrong, right)))
+                break
+    return [(new, full, how) for new, (full, how) in out.items() if new != text and not _BAD.search(new) and (full or not whole)]
 
 
 def _proper(c: str) -> bool:
@@ -206,56 +226,67 @@ def _proper(c: str) -> bool:
     return "\xa0" <= c <= "\u024f" or "\u2010" <= c <= "\u203a" or c in "\u20ac\u2122\ufeff"
 
 
-def _judge(model: Model, left: str, old: str, new: str, right: str) -> tuple[float, float, bool]:
-    """Of ``new`` between its neighbours: mean score; the share of pairs with support among the
-    high ones that ``new`` changes; whether all new characters are proper.
+def _judge(model: Model, left: str, old: str, news: list[str], right: str) -> list[tuple[float, float, bool]]:
+    """Of each of ``news`` between its neighbours: mean score; the share of pairs with support among
+    the high ones that it changes against ``old``; whether all its new characters are proper.
     """
-    new, same, rest = new.replace("\ufeff", ""), 0, 0
-    while same < min(len(old), len(new)) and old[same] == new[same]:
-        same += 1
-    while rest < min(len(old), len(new)) - same and old[-1 - rest] == new[-1 - rest]:
-        rest += 1
-    p = _points(left + new + right)
-    if len(p) < 2:
-        return 0.0, 1.0, True
+    texts = [left + n.replace("\ufeff", "") + right for n in news]
+    p = _points("\n".join(texts) + "\n")
     score = model.scores(p)
-    a, b = max(0, len(left) + same - 1), len(left) + len(new) - rest
-    q, part = p[a : b + 1], score[a:b]
-    high = (q[: len(part)] > 127) | (q[1 : len(part) + 1] > 127)
-    known = float((part[high] != IMPROBABLE).mean()) if high.any() else 1.0
-    return float(score.mean()), known, all(_proper(c) for c in new if c > "\x7f" and c not in old)
-
-
-def _repair(model: Model, left: str, run: str, right: str) -> str | None:
-    """The most probable reading of ``run`` between its neighbours, if one beats what is there."""
-    best, floor = None, _judge(model, left, "", run, right)[0]
+    high = p > 127
+    out, at = [], 0
+    for new, text in zip(news, texts):
+        n = len(text)
+        plain = new.replace("\ufeff", "")
+        same = rest = 0
+        most = min(len(old), len(plain))
+        while same < most and old[same] == plain[same]:
+            same += 1
+        while rest < most - same and old[-1 - rest] == plain[-1 - rest]:
+            rest += 1
+        a, z = at + max(0, len(left) + same - 1), at + min(n - 1, len(left) + len(plain) - rest)
+        part = score[a:z][high[a:z] | high[a + 1 : z + 1]]
+        known = float((part != IMPROBABLE).mean()) if len(part) else 1.0
+        out.append((float(score[at : at + n - 1].mean()) if n > 1 else 0.0, known, all(_proper(c) for c in new if c > "\x7f" and c not in old)))
+        at += n + 1
+    return out
+
+
+def _repair(model: Model, left: str, run: str, right: str, hints: list[tuple[str, str]]) -> str | None:
+    """The most probable reading of ``run`` between its neighbours, if one beats what is there.
+
+    ``hints``: mappings that restored text of the same kind before; they are tried first, and one
+    that gives well-supported text is taken.  Successful mappings are put in front of it.
+    """
+    best, floor = None, _judge(model, left, run, [run], right)[0][0]
     for _ in range(DEPTH):
-        top, here = None, run if best is None else best
-        high = sum(c > "\x7f" for c in here)
-        for to in RIGHT:
-            if top is not None and to == "gb18030":
-                break  # valid UTF-8 that reads well needs no rival
-            for wrong in WRONG:
-                if to == wrong or wrong in WIDE and high < 4 or to not in WIDE and high < 3:
-                    continue
-                new = _undo(here, wrong, to)
-                if new is None or new == here or any("\x7f" <= c <= "\x9f" or c == "\ufffd" or "\ue000" <= c <= "\uf8ff" for c in new):
-                    continue
-                value, known, proper = _judge(model, left, here, new, right)
-                if to == "utf_8" and proper:
+        here, top = run if best is None else best, None
+        if here.isascii():
+            break
+        for tried in (tuple(hints), ()) if hints else ((),):
+            found = _readings(here, tried)
+            for (new, full, how), (value, known, proper) in zip(found, _judge(model, left, here, [f[0] for f in found], right) if found else []):
+                if how[1] == "utf_8" and (proper or full):
                     good = value > floor + GAIN / 4 or known >= 0.5
                 else:
                     good = known >= 0.6 and value > max(LIVE, floor + GAIN)
                 if good and (top is None or value > top[0]):
-                    top = (value, new)
+                    top = (value, new, how, known)
+            if top is not None and (top[3] >= 0.75 or not tried):
+                break
         if top is None:
             break
-        floor, best = top
+        floor, best = top[0], top[1]
+        if top[2] in hints:
+            hints.remove(top[2])
+        hints.insert(0, top[2])
+        del hints[3:]
     return best
 
 
 def _restore(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo: dict[tuple[str, str, str], str | None] = {}
+    hints: list[tuple[str, str]] = []
     for batch in batches:
         texts = batch.column(batch.num_columns - 1).to_pylist()
         rows, line_no, before, after, restorable = [], [], [], [], []
@@ -286,7 +317,7 @@ def _restore(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
                     if key not in memo:
                         if len(memo) > 50_000:
                             memo.clear()
-                        memo[key] = _repair(model, *key)
+                        memo[key] = _repair(model, *key, hints)
                     out.append(joined[at:a])
                     out.append(memo[key] if memo[key] is not None else joined[a:b])
                     done |= memo[key] is not None

@@ -14,13 +14,13 @@ text have statistics of zero and no shape; a line delivered twice counts once.
 
 from __future__ import annotations
 
-import math
 import random
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SAMPLES = 900  # labelled documents the rules are fitted on
+SAMPLES = 3000  # labelled documents the rules are fitted on
 SEED = 7
 SHAPES = ("junk", "table", "list")  # in the order in which rules are tried; else prose
 
@@ -66,7 +66,7 @@ def line_stats(lines: DataFrame, common: dict[str, list[str]]) -> DataFrame:
         "semis": _count(t, "[;|\\t]"),
         "commas": _count(t, ","),
         "gaps": _count(t, "\\S {2,}(?=\\S)"),
-        "marked": t.rlike("^(?:[•*+·▪◦–—-]|\\d{1,3}[.)])\\s+\\S").cast("int"),
+        "marked": t.rlike("^(?:[•*+·▪◦–-]|\\d{1,3}[.)])\\s+\\S").cast("int"),
         "url": t.rlike("^(?:https?://|www\\.)\\S+$").cast("int"),
         "unspaced": dense,
         "foreign": _count(t, "[\\u0080-\\u00ff\\u0152-\\u0192\\u02c6-\\u02dc\\u2013-\\u2122\\u2500-\\u25a0\\ufffd]"),
@@ -119,7 +119,14 @@ _SOUNDS = {
 
 class _Maker:
     def __init__(self, seed: int, common: dict[str, list[str]]):
-        self.r, self.common = random.Random(seed), common
+        self.r, self.common, self.pool = random.Random(seed), common, []
+
+    def pooled(self, lang: str) -> None:
+        """Lists, tables and shuffled words of one document draw from few or from many words."""
+        self.pool = [self.word(lang) for _ in range(int(3 * 60 ** self.r.random()))]
+
+    def item(self) -> str:
+        return self.r.choice(self.pool)
 
     def word(self, lang: str) -> str:
         c, v = _SOUNDS[lang]
@@ -131,7 +138,7 @@ class _Maker:
         r, dense = self.r, lang in ("ja", "zh", "th")
         rate = r.uniform(0.3, 0.55)
         words = [r.choice(self.common.get(lang) or ["a"]) if r.random() < rate else self.word(lang) for _ in range(r.randint(4, 18))]
-        if r.random() < 0.3:
+        if r.random() < 0.08:
             words.insert(r.randrange(len(words)), str(r.randint(2, 1900)))
         if r.random() < 0.4 and len(words) > 4:
             words[r.randrange(1, len(words) - 1)] += "、" if lang in ("ja", "zh") else r.choice([",", ",", ";", " –"])
@@ -141,11 +148,11 @@ class _Maker:
 
     def prose(self, lang: str) -> list[str]:
         r, out = self.r, [self.word(lang).title() + " " + self.word(lang).title(), ""]
-        width = r.choice([28, 34, 48, 60, 72, 400, 400])
+        width, talk = r.choice([28, 34, 48, 60, 72, 400, 400]), r.choice(["", "", "", "", "— ", ": "])
         for _ in range(r.randint(1, 8)):
             text = ("" if lang in ("ja", "zh") else " ").join(self.sentence(lang) for _ in range(r.randint(1, 6)))
-            if r.random() < 0.1:
-                text = "— " + text
+            if talk:
+                text = talk + text if talk == "— " else self.word(lang).title() + talk + text
             if lang in ("ja", "zh", "th"):
                 out += [text[i : i + width] for i in range(0, len(text), width)]
             else:
@@ -164,29 +171,33 @@ class _Maker:
         if r.random() < 0.25:
             out[2:2] = r.choice([["<ul>", "  <li>" + self.sentence(lang) + "</li>", "</ul>"], ["## " + self.word(lang), "| a | b |", "|:--|--:|", "| 4 | 5 |"], ["\\begin{itemize}", "\\item " + self.sentence(lang), "\\end{itemize}", "\\[ \\sum_{i=1}^{3} i = n \\]"]])
         if r.random() < 0.25:
-            wrong = r.choice(["cp1252", "latin_1", "cp437", "mac_roman", "cp1251"])
-            turn = lambda x: "".join(bytes([b]).decode(wrong, "replace") for b in x.encode())
+            wrong, right = r.choice(["cp1252", "latin_1", "cp437", "mac_roman", "cp1251"]), "utf_8"
+            if lang in ("ru", "zh", "ja") and r.random() < 0.5:
+                wrong, right = "latin_1", {"ru": "cp1251", "zh": "gb18030", "ja": "cp932"}[lang]
+            turn = lambda x: "".join(bytes([b]).decode(wrong, "replace") for b in x.encode(right, "replace"))
             out = [turn(x) for x in out]
         elif r.random() < 0.08:
             out = [x.encode("ascii", "replace").decode().replace("?", "�") if not x.isascii() and lang in ("de", "fr", "es") else x for x in out]
         return out
 
     def table(self, lang: str) -> list[str]:
+        self.pooled(lang)
         r, n = self.r, self.r.randint(5, 30)
         kind, k = r.randrange(6), r.randint(2, 5)
         num = lambda: f"{r.uniform(1, 999):.2f}"
         rows = {
-            0: lambda i: "\t".join([str(i), self.word(lang), str(r.randint(1, 99)), num()]),
-            1: lambda i: ";".join([self.word(lang).title(), self.word(lang).title(), str(r.randint(1700, 1999)), num()]),
-            2: lambda i: f"{self.word(lang):<20}{r.randint(1, 99):>4}" + "".join(f"{num():>10}" for _ in range(k - 1)),
-            3: lambda i: f"{6 + i // 2:02}:{i % 2 * 3}0   {self.word(lang).title():<16}{self.word(lang).title():<16}{r.randint(1, 9)}",
+            0: lambda i: "\t".join([str(i), self.item(), str(r.randint(1, 99)), num()]),
+            1: lambda i: ";".join([self.item().title(), self.item().title(), str(r.randint(1700, 1999)), num()]),
+            2: lambda i: f"{self.item():<20}{r.randint(1, 99):>4}" + "".join(f"{num():>10}" for _ in range(k - 1)),
+            3: lambda i: f"{6 + i // 2:02}:{i % 2 * 3}0   {self.item().title():<16}{self.item().title():<16}{r.randint(1, 9)}",
             4: lambda i: "".join(f"{r.randint(1, 999):>6}" for _ in range(2 * k)),
-            5: lambda i: " | ".join([self.word(lang), str(r.randint(1, 99)), num()]),
+            5: lambda i: " | ".join([self.item(), str(r.randint(1, 99)), num()]),
         }[kind]
         return [rows(i) for i in range(n)]
 
     def list(self, lang: str) -> list[str]:
-        r, n, w = self.r, self.r.randint(5, 30), lambda: self.word(lang)
+        self.pooled(lang)
+        r, n, w = self.r, self.r.randint(4, 40), self.item
         mark = r.choice(["• ", "- ", "* ", "– "])
         rows = {
             0: lambda i: f"{i + 1}) {w()} {w().title()}",
@@ -195,7 +206,7 @@ class _Maker:
             3: lambda i: mark + w(),
             4: lambda i: f"{w().title()}, {w().title()}",
             5: lambda i: f"https://www.{self.word('en')}.example/{self.word('en')}/{r.randint(1, 99)}",
-            6: lambda i: "; ".join(w() for _ in range(r.randint(6, 8))),
+            6: lambda i: "; ".join(w() for _ in range(8 if n % 2 else r.randint(4, 9))),
             7: lambda i: f"{i + 1}. {w().title()} {w()}",
             8: lambda i: w(),
         }[r.randrange(9)]
@@ -204,7 +215,7 @@ class _Maker:
     def junk(self, lang: str) -> list[str]:
         r, n = self.r, self.r.randint(4, 30)
         two = (self.word(lang), self.word(lang))
-        pool = [self.word(lang) for _ in range(30)] + ["sea-" + self.word("en")]
+        pool = [self.word(lang) for _ in range(int(15 * 20 ** self.r.random()))] + ["sea-" + self.word("en")]
         chars = lambda s, k: "".join(r.choice(s) for _ in range(k))
         rows = {
             0: lambda: chars("%%!!^?=+|/:@  ", r.randint(30, 60)),
@@ -225,7 +236,7 @@ def samples(common: dict[str, list[str]], n: int = SAMPLES, seed: int = SEED) ->
     make, out = _Maker(seed, common), []
     langs = sorted(_SOUNDS)
     for i in range(n):
-        shape = ("prose", "prose", "list", "table", "junk")[i % 5]
+        shape = ("prose", "prose", "list", "prose", "table", "junk")[i % 6]
         lang = langs[make.r.randrange(len(langs))] if make.r.random() < 0.6 else "en"
         lines = getattr(make, shape)(lang)
         if shape in ("list", "table") and make.r.random() < 0.4:
@@ -239,68 +250,78 @@ def samples(common: dict[str, list[str]], n: int = SAMPLES, seed: int = SEED) ->
 # --- incremental reduced-error pruning ---------------------------------------------
 
 Condition = tuple[str, str, float]  # feature, "<=" or ">=", threshold
-Row = dict[str, float]
+CUTS = 60  # thresholds tried per feature
+ERRS = 0.02  # a rule may err so often
+TRIES = 6  # splits tried for a rule
 
 
-def _holds(rule: list[Condition], row: Row) -> bool:
-    return all(row[f] <= x if op == "<=" else row[f] >= x for f, op, x in rule)
+def _holds(rule: list[Condition], x: np.ndarray) -> np.ndarray:
+    out = np.ones(len(x), bool)
+    for f, op, cut in rule:
+        v = x[:, FEATURES.index(f)]
+        out &= v <= cut if op == "<=" else v >= cut
+    return out
 
 
-def _grow(pos: list[Row], neg: list[Row]) -> list[Condition]:
+def _grow(pos: np.ndarray, neg: np.ndarray) -> list[Condition]:
+    """Add the condition of most information gain until no negative is left (or four are there)."""
     rule: list[Condition] = []
-    while pos and neg and len(rule) < 4:
-        base = math.log2(len(pos) / (len(pos) + len(neg)))
+    while len(pos) and len(neg) and len(rule) < 4:
+        base = np.log2(len(pos) / (len(pos) + len(neg)))
         best: tuple[float, Condition] | None = None
-        for f in FEATURES:
-            values = sorted({r[f] for r in pos} | {r[f] for r in neg})
+        for k, f in enumerate(FEATURES):
+            values = np.unique(np.concatenate([pos[:, k], neg[:, k]]))
             if len(values) < 2:
                 continue
-            step = max(1, len(values) // 40)
-            for a, b in list(zip(values, values[1:]))[::step]:
-                cut = round((a + b) / 2, 5)
-                for op in ("<=", ">="):
-                    p = sum(_holds([(f, op, cut)], r) for r in pos)
-                    if p:
-                        q = sum(_holds([(f, op, cut)], r) for r in neg)
-                        gain = p * (math.log2(p / (p + q)) - base)
-                        if best is None or gain > best[0] + 1e-9:
-                            best = (gain, (f, op, cut))
+            cuts = np.round((values[:-1] + values[1:]) / 2, 5)[:: max(1, len(values) // CUTS)]
+            a, b = np.sort(pos[:, k]), np.sort(neg[:, k])
+            for op, p, q in (
+                ("<=", np.searchsorted(a, cuts, "right"), np.searchsorted(b, cuts, "right")),
+                (">=", len(a) - np.searchsorted(a, cuts, "left"), len(b) - np.searchsorted(b, cuts, "left")),
+            ):
+                gain = np.where(p > 0, p * (np.log2(np.maximum(p, 1) / np.maximum(p + q, 1)) - base), -1.0)
+                i = int(gain.argmax())
+                if best is None or gain[i] > best[0] + 1e-9:
+                    best = (float(gain[i]), (f, op, float(cuts[i])))
         if best is None or best[0] <= 0:
             break
         rule.append(best[1])
-        pos = [r for r in pos if _holds(rule, r)]
-        neg = [r for r in neg if _holds(rule, r)]
+        pos, neg = pos[_holds(rule, pos)], neg[_holds(rule, neg)]
     return rule
 
 
-def _prune(rule: list[Condition], pos: list[Row], neg: list[Row]) -> list[Condition]:
+def _prune(rule: list[Condition], pos: np.ndarray, neg: np.ndarray) -> list[Condition]:
+    """The leading conditions that do best on documents the rule was not grown on."""
+
     def worth(r: list[Condition]) -> float:
-        p, q = sum(_holds(r, x) for x in pos), sum(_holds(r, x) for x in neg)
+        p, q = int(_holds(r, pos).sum()), int(_holds(r, neg).sum())
         return (p - q) / (p + q) if p + q else -1.0
 
     return max((rule[:k] for k in range(len(rule), 0, -1)), key=lambda r: (worth(r), len(r)))
 
 
-def induce(labelled: list[tuple[str, Row]], seed: int = SEED) -> list[tuple[str, list[Condition]]]:
+def induce(labels: list[str], x: np.ndarray, seed: int = SEED) -> list[tuple[str, list[Condition]]]:
     """The ordered rule list: (shape, conditions); where none holds, it's prose."""
-    r, rules, left = random.Random(seed), [], list(labelled)
+    rng, rules, labels = np.random.default_rng(seed), [], np.asarray(labels)
     for shape in SHAPES:
         while True:
-            pos, neg = [x for s, x in left if s == shape], [x for s, x in left if s != shape]
-            if len(pos) < 3:
-                break
-            r.shuffle(pos)
-            r.shuffle(neg)
-            a, b = max(1, 2 * len(pos) // 3), 2 * len(neg) // 3
-            rule = _grow(pos[:a], neg[:b])
-            if not rule:
-                break
-            rule = _prune(rule, pos[a:], neg[b:])
-            hit, miss = sum(_holds(rule, x) for x in pos), sum(_holds(rule, x) for x in neg)
-            if not hit or miss > 0.1 * hit:
+            pos, neg = x[labels == shape], x[labels != shape]
+            best: tuple[int, list[Condition]] | None = None
+            for _ in range(TRIES if len(pos) >= 3 else 0):  # splits into growing and pruning documents
+                p, q = rng.permutation(pos), rng.permutation(neg)
+                a, b = max(1, 2 * len(p) // 3), 2 * len(q) // 3
+                rule = _grow(p[:a], q[:b])
+                if not rule:
+                    continue
+                rule = _prune(rule, p[a:], q[b:])
+                hit, miss = int(_holds(rule, p).sum()), int(_holds(rule, q).sum())
+                if hit and miss <= ERRS * hit and (best is None or hit - 10 * miss > best[0]):
+                    best = (hit - 10 * miss, rule)
+            if best is None:
                 break
-            rules.append((shape, rule))
-            left = [(s, x) for s, x in left if not _holds(rule, x)]
+            rules.append((shape, best[1]))
+            left = ~_holds(best[1], x)
+            x, labels = x[left], labels[left]
     return rules
 
 
@@ -315,7 +336,8 @@ def fit(spark: SparkSession, common: dict[str, list[str]], n: int = SAMPLES, see
     made = samples(common, n, seed)
     rows = [(i, k, line) for i, (_, lines) in enumerate(made) for k, line in enumerate(lines, 1)]
     got = document_stats(spark.createDataFrame(rows, "file_id long, line_no int, line string"), common).collect()  # n rows
-    return induce([(made[r["file_id"]][0], {f: float(r[f]) for f in FEATURES}) for r in sorted(got, key=lambda r: r["file_id"])], seed)
+    got = sorted(got, key=lambda r: r["file_id"])
+    return induce([made[r["file_id"]][0] for r in got], np.array([[float(r[f]) for f in FEATURES] for r in got]), seed)
 
 
 def shapes(lines: DataFrame, common: dict[str, list[str]], rules: list[tuple[str, list[Condition]]] | None = None) -> DataFrame:
