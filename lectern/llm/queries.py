@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import p1_garbled, p6_tokens, p7_mix
+from . import p1_garbled, p2_markup, p3_quality, p4_lookalike, p6_tokens, p7_mix, p8_sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,39 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("origin", "rec_id", F.coalesce("line_no", "_line").alias("line_no")).distinct()
 
 
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "doc_lines").select("file_id", "line_no", "line")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_markup.languages(_lines(spark, d)).where("certainty > 0.5").select("file_id", "syntax")
+
+
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    return p2_markup.clean(_lines(spark, d))
+
+
+def _common(spark: SparkSession, d: str) -> dict[str, list[str]]:
+    return p3_quality.common_words(table(spark, d, "common_words"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    got = p3_quality.shapes(_lines(spark, d), _common(spark, d))
+    return got.where(F.col("shape").isin(*p3_quality.SHAPES)).select("file_id", "shape")
+
+
+def p3_stats(spark: SparkSession, d: str) -> DataFrame:
+    return p3_quality.shapes(_lines(spark, d), _common(spark, d))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_lookalike.pairs(_lines(spark, d))
+
+
+def p4_forms(spark: SparkSession, d: str) -> DataFrame:
+    return p4_lookalike.canonical(_lines(spark, d), "line", ["file_id", "line_no"]).select("file_id", "line_no", "canonical").distinct()
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return p6_tokens.encode(table(spark, d, "documents").select("doc_id", "text"), keep=["doc_id"])
 
@@ -55,14 +88,35 @@ def p7_mixed(spark: SparkSession, d: str) -> DataFrame:
     return p7_mix.sample(cut(_sizes(spark, d)), table(spark, d, "mix_targets"))
 
 
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "split_tasks").select("doc_id").distinct()
+    return table(spark, d, "documents").select("doc_id", "text").join(asked, "doc_id", "left_semi")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_sentences.units(_asked(spark, d)).select("doc_id", "start_pos").distinct()
+
+
+def p8_units(spark: SparkSession, d: str) -> DataFrame:
+    return p8_sentences.units(table(spark, d, "documents").select("doc_id", "text"), content=True)
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
         "p1_restored": p1_restored,
+        "p2_found": p2_found,
+        "p2_clean": p2_clean,
+        "p3_found": p3_found,
+        "p3_stats": p3_stats,
+        "p4_found": p4_found,
+        "p4_forms": p4_forms,
         "p6_ids": p6_ids,
         "p7_found": p7_found,
         "p7_shares": p7_shares,
         "p7_mixed": p7_mixed,
+        "p8_found": p8_found,
+        "p8_units": p8_units,
     }
 
 
