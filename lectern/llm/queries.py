@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import p1_garbled, p2_markup, p3_quality, p4_lookalike, p6_tokens, p7_mix, p8_sentences
+from . import p1_garbled, p2_markup, p3_quality, p4_lookalike, p5_scans, p6_tokens, p7_mix, p8_sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,18 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return p4_lookalike.canonical(_lines(spark, d), "line", ["file_id", "line_no"]).select("file_id", "line_no", "canonical").distinct()
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_scans.found(table(spark, d, "extractions"), table(spark, d, "doc_lines"))[0]
+
+
+def p5_repairs(spark: SparkSession, d: str) -> DataFrame:
+    return p5_scans.found(table(spark, d, "extractions"), table(spark, d, "doc_lines"))[1]
+
+
+def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return p5_scans.paragraphs(table(spark, d, "extractions"), table(spark, d, "doc_lines"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return p6_tokens.encode(table(spark, d, "documents").select("doc_id", "text"), keep=["doc_id"])
 
@@ -111,6 +123,9 @@ def queries() -> dict[str, Query]:
         "p3_stats": p3_stats,
         "p4_found": p4_found,
         "p4_forms": p4_forms,
+        "p5_found": p5_found,
+        "p5_repairs": p5_repairs,
+        "p5_paragraphs": p5_paragraphs,
         "p6_ids": p6_ids,
         "p7_found": p7_found,
         "p7_shares": p7_shares,
