@@ -1,19 +1,450 @@
-"""Queries over the test tables, one per operator, and the SQL they are held against."""
+"""Queries over the test tables, one per operator; ``oracles`` holds the SQL they are compared with.
+
+Lines are those of ``doc_lines`` (doc_id is file_id), one row per line, null lines as ''.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import headings as H
+from ..functions import text as T
+from ..operators import furniture, hyphens, interface, metrics, notes, regions, render, report, review, verse
+from ..operators import lines as L
+from ..session import cut
+from ..sources import readers
+from ..tables import table
+from .oracles import oracle_sql as oracle_sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+_all: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _all[f.__name__] = f
+    return f
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    got = table(spark, d, "doc_lines").select(F.col("file_id").alias("doc_id"), "line_no", F.coalesce("line", F.lit("")).alias("line"))
+    return got.dropDuplicates(["doc_id", "line_no"])
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
 
+def _extractions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "extractions")
 
+
+# --- scalar functions and projections -----------------------------------------------
+
+
+@query
+def doc_stats(spark: SparkSession, d: str) -> DataFrame:
+    return L.document_stats(_docs(spark, d))
+
+
+@query
 def lang_token_totals(spark: SparkSession, d: str) -> DataFrame:
-    raise NotImplementedError
+    docs = _docs(spark, d).select("doc_id", "lang", "text")
+    got = L.document_stats(docs).join(docs.select("doc_id", "lang"), "doc_id")
+    return got.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum("word_tokens").alias("word_tokens"), F.sum("characters").alias("characters"), F.sum("line_count").alias("line_count"))
+
+
+@query
+def type_frequency_topk(spark: SparkSession, d: str) -> DataFrame:
+    words = _docs(spark, d).where("text is not null").select(F.explode(T.words(F.col("text"))).alias("w")).groupBy(F.lower("w").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    return words.orderBy(F.desc("n"), "word").limit(100)  # a top-k report
+
+
+@query
+def lines_exploded(spark: SparkSession, d: str) -> DataFrame:
+    return L.explode_lines(_docs(spark, d))
+
+
+@query
+def blocks(spark: SparkSession, d: str) -> DataFrame:
+    return L.blocks(_lines(spark, d))
+
+
+@query
+def newline_profile(spark: SparkSession, d: str) -> DataFrame:
+    got = _docs(spark, d).select(L.newline_style(F.coalesce("headers", F.lit(""))).alias("style"))
+    return got.groupBy("style").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def letter_ratio_class(spark: SparkSession, d: str) -> DataFrame:
+    return L.usability(_docs(spark, d), "doc_id", "text")
+
+
+@query
+def extraction_class(spark: SparkSession, d: str) -> DataFrame:
+    x = _extractions(spark, d).select("extr_id", F.array_join(F.coalesce("text_lines", F.array().cast("array<string>")), "\n").alias("text"), "note").distinct()
+    return L.usability(x, "extr_id", "text", producer="note")
+
+
+@query
+def extraction_triage(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.triage(extraction_class(spark, d))
+
+
+@query
+def page_number_like(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d).withColumn("page_no", T.page_number(F.col("line"))).where("page_no is not null").select("doc_id", "line_no", "page_no")
+
+
+@query
+def normalised_key_groups(spark: SparkSession, d: str) -> DataFrame:
+    got = _lines(spark, d).select("doc_id", T.line_key(F.col("line")).alias("key")).where("key <> ''")
+    return got.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+
+
+@query
+def label_keys(spark: SparkSession, d: str) -> DataFrame:
+    got = _lines(spark, d).where(T.label_shaped(F.col("line"))).select(T.control_key(F.col("line")).alias("key")).where("key <> ''")
+    return got.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def roman_numerals(spark: SparkSession, d: str) -> DataFrame:
+    s = T.strip(F.col("line"))
+    return _lines(spark, d).where(s.rlike("(?i)(?:chapter|kapitel|cap[ií]tulo|chapitre) [ivxlc]+")).select("doc_id", "line_no", T.roman_value(F.regexp_extract(s, r"(?i)(?:chapter|kapitel|cap[ií]tulo|chapitre) ([ivxlc]+)", 1)).alias("value"))
+
+
+# --- furniture -----------------------------------------------------------------------
+
+
+@query
+def short_line_series(spark: SparkSession, d: str) -> DataFrame:
+    return furniture.series(_lines(spark, d))
+
+
+@query
+def series_gap_stats(spark: SparkSession, d: str) -> DataFrame:
+    return furniture.gaps(_lines(spark, d))
+
+
+@query
+def series_judged(spark: SparkSession, d: str) -> DataFrame:
+    return furniture.judged(furniture.gaps(_lines(spark, d)))
+
+
+@query
+def ascending_page_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return furniture.page_numbers(_lines(spark, d))
+
+
+@query
+def near_duplicate_heads(spark: SparkSession, d: str) -> DataFrame:
+    return furniture.near_duplicates(_lines(spark, d))
+
+
+@query
+def furniture_lines(spark: SparkSession, d: str) -> DataFrame:
+    return furniture.find(_lines(spark, d))
+
+
+@query
+def edge_furniture(spark: SparkSession, d: str) -> DataFrame:
+    return furniture.edges(_extractions(spark, d))
+
+
+@query
+def catchword_pages(spark: SparkSession, d: str) -> DataFrame:
+    lines = _lines(spark, d)
+    return furniture.catchwords(lines, furniture.find(lines))
+
+
+@query
+def prefix_heads(spark: SparkSession, d: str) -> DataFrame:
+    return furniture.prefix_heads(_lines(spark, d), gate=False)
+
+
+@query
+def head_chapters(spark: SparkSession, d: str) -> DataFrame:
+    lines = _lines(spark, d)
+    keys = furniture.keyed(lines).where("key <> '#'").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("doc_id", "key")
+    heads = furniture.keyed(lines).join(keys, ["doc_id", "key"]).select("doc_id", F.col("key").alias("series"), "line_no")
+    return furniture.head_chapters(heads)
+
+
+# --- regions -------------------------------------------------------------------------
+
+
+@query
+def licence_phrase_density(spark: SparkSession, d: str) -> DataFrame:
+    t = F.coalesce("text", F.lit(""))
+    return _docs(spark, d).select("doc_id", T.phrase_score(t, H.LICENCE).alias("score"), T.phrase_score(t, H.SCANNING).alias("scan_score"))
+
+
+@query
+def heading_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d).where(H.is_division(F.col("line"))).select("doc_id", "line_no", H.division_key(F.col("line")).alias("key"))
+
+
+@query
+def numbered_sections(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d).where(H.is_section(F.col("line"))).select("doc_id", "line_no", T.strip(F.col("line")).alias("title"))
+
+
+@query
+def front_back_lines(spark: SparkSession, d: str) -> DataFrame:
+    got = _lines(spark, d).select("doc_id", "line_no", H.is_front(F.col("line")).alias("is_front"), H.is_back(F.col("line")).alias("is_back"), H.is_metadata(F.col("line")).alias("is_metadata"))
+    return got.where("is_front or is_back or is_metadata")
+
+
+@query
+def region_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return regions.candidates(_lines(spark, d))
+
+
+@query
+def notice_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return regions.notices(_lines(spark, d))
+
+
+@query
+def region_cover(spark: SparkSession, d: str) -> DataFrame:
+    lines = _lines(spark, d)
+    return regions.cover(regions.paint(lines, regions.candidates(lines)))
+
+
+@query
+def region_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    return regions.segment(_lines(spark, d))
+
+
+@query
+def coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
+    lines = _lines(spark, d)
+    return regions.gaps(lines, regions.segment(lines))
+
+
+@query
+def region_label_totals(spark: SparkSession, d: str) -> DataFrame:
+    lines = _lines(spark, d)
+    return regions.label_totals(lines, regions.segment(lines))
+
+
+@query
+def region_roll_up(spark: SparkSession, d: str) -> DataFrame:
+    lines = _lines(spark, d)
+    seg = cut(regions.segment(lines))
+    owned = seg.select("doc_id", "region_idx", F.explode(F.sequence("first_line", "last_line")).alias("line_no"))
+    words = owned.join(lines, ["doc_id", "line_no"]).groupBy("doc_id", "region_idx").agg(F.sum(F.size(T.words(F.col("line")))).alias("own_words"))
+    return regions.roll_up(seg, words)
+
+
+# --- verse and reflow ----------------------------------------------------------------
+
+
+@query
+def break_profile(spark: SparkSession, d: str) -> DataFrame:
+    return verse.profile(_lines(spark, d)).where("authorial").select("doc_id", "line_no", "block_id")
+
+
+@query
+def window_break_rate(spark: SparkSession, d: str) -> DataFrame:
+    return verse.rates(_lines(spark, d)).select("doc_id", "line_no", F.round("rate", 6).alias("rate"))
+
+
+@query
+def wrapped_docs(spark: SparkSession, d: str) -> DataFrame:
+    return L.wrapped(_lines(spark, d))
+
+
+@query
+def protected_spans(spark: SparkSession, d: str) -> DataFrame:
+    return verse.protected_spans(_lines(spark, d))
+
+
+@query
+def reflow_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return verse.reflow(_lines(spark, d))
+
+
+# --- hyphens and review --------------------------------------------------------------
+
+
+@query
+def hyphen_breaks(spark: SparkSession, d: str) -> DataFrame:
+    return hyphens.breaks(_lines(spark, d))
+
+
+@query
+def vocabulary_counts(spark: SparkSession, d: str) -> DataFrame:
+    return hyphens.vocabulary(_lines(spark, d)).where("n >= 2")
+
+
+@query
+def hyphen_decisions(spark: SparkSession, d: str) -> DataFrame:
+    return hyphens.decisions(_lines(spark, d)).select("doc_id", "line_no", "joined", "hyphenated", "decision")
+
+
+@query
+def hyphen_joined_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines = _lines(spark, d)
+    return hyphens.join_lines(lines, hyphens.decisions(lines))
+
+
+@query
+def review_items(spark: SparkSession, d: str) -> DataFrame:
+    lines = _lines(spark, d)
+    return review.items(hyphens.decisions(lines), notes.pairs(lines))
+
+
+@query
+def review_apply(spark: SparkSession, d: str) -> DataFrame:
+    lines = _lines(spark, d)
+    decided = hyphens.decisions(lines)
+    hints = table(spark, d, "breaks").where("decision in ('join', 'keep')").groupBy(F.col("hyphenated").alias("key")).agg(F.max("decision").alias("decision")).withColumn("kind", F.lit("hyphen"))
+    return review.apply(decided, hints).select("doc_id", "line_no", "hyphenated", "decision", "resolved")
+
+
+# --- interface and notes -------------------------------------------------------------
+
+
+def _thread_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold threads; a handle line "@name · 3 h" is read as the handle alone."""
+    lines = L.explode_lines(_docs(spark, d))
+    return lines.withColumn("line", F.regexp_replace("line", r"^(@[\p{L}\p{Nd}_.]+) · \d+ [smhdwy]$", "$1"))
+
+
+@query
+def interface_records(spark: SparkSession, d: str) -> DataFrame:
+    return interface.records(_thread_lines(spark, d)).select("doc_id", "line_no", "record", "is_body")
+
+
+@query
+def interface_label_counts(spark: SparkSession, d: str) -> DataFrame:
+    return interface.label_counts(_thread_lines(spark, d)).select("doc_id", "key", "records_with", "records", "confirmed")
+
+
+@query
+def interface_labels(spark: SparkSession, d: str) -> DataFrame:
+    return interface.labels(_thread_lines(spark, d))
+
+
+@query
+def footnote_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return notes.bodies(_lines(spark, d))
+
+
+@query
+def footnote_markers(spark: SparkSession, d: str) -> DataFrame:
+    return notes.markers(_lines(spark, d))
+
+
+@query
+def footnote_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return notes.pairs(_lines(spark, d))
+
+
+# --- readers -------------------------------------------------------------------------
+
+
+@query
+def encoding_detect(spark: SparkSession, d: str) -> DataFrame:
+    raw = _docs(spark, d).select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("raw_bytes").alias("content"))
+    return readers.load_bytes(raw).select("name", "encoding", "had_bom", "encoding_confidence", "newline", "source_bytes", "replacement_chars")
+
+
+@query
+def html_text(spark: SparkSession, d: str) -> DataFrame:
+    return readers.html_column(_docs(spark, d), "doc_id", "raw_bytes")
+
+
+@query
+def markdown_text(spark: SparkSession, d: str) -> DataFrame:
+    whole = _lines(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("t"))
+    files = whole.select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("name"), F.encode("t", "UTF-8").alias("content"))
+    return readers.load_bytes(files).select("name", "text", "error")
+
+
+# --- variants, logs, scores ----------------------------------------------------------
+
+
+def _rendered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    lines = cut(_lines(spark, d))
+    seg = cut(regions.segment(lines))
+    return lines, seg, render.render_all(lines, seg)
+
+
+@query
+def variant_text(spark: SparkSession, d: str) -> DataFrame:
+    return _rendered(spark, d)[2]
+
+
+@query
+def variant_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return render.stats(_rendered(spark, d)[2])
+
+
+@query
+def variant_delta(spark: SparkSession, d: str) -> DataFrame:
+    return render.deltas(render.stats(_rendered(spark, d)[2]))
+
+
+@query
+def variant_drop_rows(spark: SparkSession, d: str) -> DataFrame:
+    return render.dropped(regions.segment(_lines(spark, d)), render.resolve())
+
+
+@query
+def variant_repaired(spark: SparkSession, d: str) -> DataFrame:
+    lines = cut(_lines(spark, d))
+    seg = cut(regions.segment(lines))
+    facts = render.Facts(furniture=furniture.find(lines), interface=interface.labels(lines), notes=notes.bodies(lines), note_pairs=notes.pairs(lines))
+    choice = render.custom("repaired", ["front_matter", "body", "back_matter", "unknown"], drop_furniture=True, drop_interface=True, footnotes="remove", dehyphenate=True, reflow=True)
+    return render.render(lines, seg, choice, facts)
+
+
+@query
+def dropped_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines = _lines(spark, d)
+    kept = render.kept_lines(lines, regions.segment(lines), render.BUILTIN["body-only"])
+    return render.marked(lines, kept)
+
+
+@query
+def invented_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines, _, out = _rendered(spark, d)
+    return metrics.invented(lines, out)
+
+
+@query
+def stress_verdict(spark: SparkSession, d: str) -> DataFrame:
+    lines, seg, out = _rendered(spark, d)
+    return metrics.verdicts(render.deltas(render.stats(out)), regions.gaps(lines, seg))
+
+
+@query
+def accuracy_prf(spark: SparkSession, d: str) -> DataFrame:
+    """Furniture by the page interval, held against that of stated page edges, over extractions."""
+    x = _extractions(spark, d).where("kind in ('text', 'ocr')")
+    lines = x.select(F.col("extr_id").alias("doc_id"), F.posexplode("text_lines").alias("_p", "line")).select("doc_id", (F.col("_p") + 1).alias("line_no"), "line").dropDuplicates(["doc_id", "line_no"])
+    stated = furniture.edges(x).select("doc_id", "line_no")
+    found = furniture.find(lines).join(stated.select("doc_id").distinct(), "doc_id", "left_semi")
+    return metrics.sets(stated, found, ["doc_id", "line_no"])
+
+
+@query
+def json_log(spark: SparkSession, d: str) -> DataFrame:
+    lines, seg, out = _rendered(spark, d)
+    return report.json_log(lines.select("doc_id").distinct(), seg, render.deltas(render.stats(out)), render.dropped(seg, render.resolve()))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+@query
+def markdown_log(spark: SparkSession, d: str) -> DataFrame:
+    lines, seg, out = _rendered(spark, d)
+    return report.markdown_log(lines.select("doc_id").distinct(), seg, render.deltas(render.stats(out)), render.dropped(seg, render.resolve()), regions.gaps(lines, seg))
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_all)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -47,9 +48,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage (survives executor loss)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a compressed table in the shared folder and read it: lineage is cut, and the
+    result survives the loss of executors.  The tables of a session are removed when it ends.
+    """
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    _written.append((df.sparkSession, path))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def forget() -> None:
+    """Remove the tables that :func:`cut` wrote (also to be called between long jobs)."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            jvm = spark.sparkContext._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001 - the session may be gone; the folder is temporary then
+            continue
+
+
+def if_small(df: DataFrame, most: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` rows (counted), else as it is."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def shared_path(spark: SparkSession, stem: str) -> str:
