@@ -43,19 +43,14 @@ def decisions(lines: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     ``extra``: a table of further attested words (word), e.g. a word list.
     """
     found = breaks(lines)
-    counts = vocabulary(lines)
     fragments = found.select("doc_id", F.explode(F.array(F.lower("left_part"), F.lower("right_part"))).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("f"))
-    attested = counts.join(fragments, ["doc_id", "word"], "left").where(F.col("n") > F.coalesce("f", F.lit(0))).select("doc_id", "word")
+    attested = vocabulary(lines).join(fragments, ["doc_id", "word"], "left").where(F.col("n") > F.coalesce("f", F.lit(0))).select("doc_id", "word", F.lit(True).alias("_own"))
+    roles = F.posexplode(F.array(*[F.lower(c) for c in ("joined", "hyphenated", "left_part", "right_part")])).alias("_role", "word")
+    asked = found.select("*", roles).join(attested, ["doc_id", "word"], "left")
     if extra is not None:
-        known = extra.select(F.lower("word").alias("word")).distinct().withColumn("_x", F.lit(True))
-    asked = found.select("doc_id", F.explode(F.array(*[F.lower(c) for c in ("joined", "hyphenated", "left_part", "right_part")])).alias("word")).distinct()
-    seen = asked.join(attested.withColumn("_own", F.lit(True)), ["doc_id", "word"], "left")
-    if extra is not None:
-        seen = seen.join(known, "word", "left")
-    seen = seen.select("doc_id", "word", F.coalesce("_own", *(["_x"] if extra is not None else []), F.lit(False)).alias("yes"))
-    out = found
-    for c in ("joined", "hyphenated", "left_part", "right_part"):
-        out = out.join(seen.select("doc_id", F.col("word").alias(f"_w_{c}"), F.col("yes").alias(f"_{c}")), (out["doc_id"] == seen["doc_id"]) & (F.lower(out[c]) == F.col(f"_w_{c}")), "left").drop(f"_w_{c}").drop(seen["doc_id"])
+        asked = asked.join(extra.select(F.lower("word").alias("word"), F.lit(True).alias("_x")).distinct(), "word", "left").withColumn("_own", F.coalesce("_own", "_x"))
+    yes = lambda k: F.coalesce(F.max(F.when(F.col("_role") == k, F.col("_own"))), F.lit(False))
+    out = asked.groupBy("doc_id", "line_no", "left_part", "right_part", "joined", "hyphenated").agg(yes(0).alias("_joined"), yes(1).alias("_hyphenated"), yes(2).alias("_left_part"), yes(3).alias("_right_part"))
     return out.withColumns({"decision": _decide("decision"), "reason": _decide("reason")}).drop("_joined", "_hyphenated", "_left_part", "_right_part")
 
 
@@ -89,7 +84,8 @@ def join_lines(lines: DataFrame, decided: DataFrame) -> DataFrame:
         own = F.when(acc["cut"] != "", F.regexp_replace(row["line"], rf"^\s*[{LETTER}][{CHAR}'’]*", "")).otherwise(row["line"])
         whole = F.concat(acc["text"], own)
         tail = F.concat(row["left_part"], F.lit("-"))
-        closed = F.concat(F.regexp_replace(F.regexp_replace(whole, r"\s+$", ""), rf"[{CHAR}'’-]*-$", ""), row["_word"])
+        trimmed = F.regexp_replace(whole, r"\s+$", "")
+        closed = F.concat(F.substring(trimmed, F.lit(1), F.length(trimmed) - F.length(tail)), row["_word"])
         merges = row["_word"].isNotNull() & F.coalesce(F.endswith(F.regexp_replace(whole, r"\s+$", ""), tail), F.lit(False))
         return F.struct(F.when(merges, closed).otherwise(whole).alias("text"), F.when(merges, F.lit("x")).otherwise(F.lit("")).alias("cut"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import headings as H
 from ..functions import text as T
+from ..session import cut
 from . import hyphens, verse
 from .regions import LABELS
 
@@ -112,6 +113,8 @@ def _assembled(kept: DataFrame) -> DataFrame:
 def render(lines: DataFrame, regions: DataFrame, variant: Variant, facts: Facts | None = None) -> DataFrame:
     """(doc_id, variant, text): the cleaned text of each document; empty where nothing is kept."""
     out = _assembled(kept_lines(lines, regions, variant, facts))
+    if variant.dehyphenate or variant.reflow:
+        out = cut(out)  # the next stages look at it several times
     if variant.dehyphenate:
         decided = hyphens.decisions(out)
         if facts is not None and facts.decisions is not None:
@@ -119,6 +122,7 @@ def render(lines: DataFrame, regions: DataFrame, variant: Variant, facts: Facts
 
             decided = apply(decided, facts.decisions)
         out = hyphens.join_lines(out, decided)
+        out = cut(out) if variant.reflow else out
     if variant.reflow:
         blocks = verse.reflow(out)
         text = blocks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_line", "text"))), lambda x: x["text"]), "\n\n").alias("text"))

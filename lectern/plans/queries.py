@@ -400,7 +400,7 @@ def variant_drop_rows(spark: SparkSession, d: str) -> DataFrame:
 def variant_repaired(spark: SparkSession, d: str) -> DataFrame:
     lines = cut(_lines(spark, d))
     seg = cut(regions.segment(lines))
-    facts = render.Facts(furniture=furniture.find(lines), interface=interface.labels(lines), notes=notes.bodies(lines), note_pairs=notes.pairs(lines))
+    facts = render.Facts(furniture=cut(furniture.find(lines)), interface=cut(interface.labels(lines)), notes=cut(notes.bodies(lines)), note_pairs=cut(notes.pairs(lines)))
     choice = render.custom("repaired", ["front_matter", "body", "back_matter", "unknown"], drop_furniture=True, drop_interface=True, footnotes="remove", dehyphenate=True, reflow=True)
     return render.render(lines, seg, choice, facts)
 
