@@ -19,6 +19,11 @@ VOCABULARY = rf"[{LETTER}][{CHAR}'’-]*"
 SUFFIX = 3  # an unattested tail of up to so many letters is a suffix
 
 
+def fold(text: str) -> Column:
+    """Lower case, with one form of the letter sigma wherever it stands."""
+    return F.translate(F.lower(text), "ς", "σ")
+
+
 def breaks(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, left_part, right_part, joined, hyphenated): a line ends in a hyphen attached
     to a word, and the next physical line opens with a word.
@@ -32,7 +37,7 @@ def breaks(lines: DataFrame) -> DataFrame:
 
 def vocabulary(lines: DataFrame) -> DataFrame:
     """(doc_id, word, n): lower-cased words, inner hyphens and apostrophes kept, edge hyphens not."""
-    words = lines.select("doc_id", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(VOCABULARY), F.lit(0))).alias("word"))
+    words = lines.select("doc_id", F.explode(F.regexp_extract_all(fold("line"), F.lit(VOCABULARY), F.lit(0))).alias("word"))
     words = words.select("doc_id", F.regexp_replace("word", "^-+|-+$", "").alias("word")).where("word <> ''")
     return words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
 
@@ -43,12 +48,12 @@ def decisions(lines: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     ``extra``: a table of further attested words (word), e.g. a word list.
     """
     found = breaks(lines)
-    fragments = found.select("doc_id", F.explode(F.array(F.lower("left_part"), F.lower("right_part"))).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("f"))
+    fragments = found.select("doc_id", F.explode(F.array(fold("left_part"), fold("right_part"))).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("f"))
     attested = vocabulary(lines).join(fragments, ["doc_id", "word"], "left").where(F.col("n") > F.coalesce("f", F.lit(0))).select("doc_id", "word", F.lit(True).alias("_own"))
-    roles = F.posexplode(F.array(*[F.lower(c) for c in ("joined", "hyphenated", "left_part", "right_part")])).alias("_role", "word")
+    roles = F.posexplode(F.array(*[fold(c) for c in ("joined", "hyphenated", "left_part", "right_part")])).alias("_role", "word")
     asked = found.select("*", roles).join(attested, ["doc_id", "word"], "left")
     if extra is not None:
-        asked = asked.join(extra.select(F.lower("word").alias("word"), F.lit(True).alias("_x")).distinct(), "word", "left").withColumn("_own", F.coalesce("_own", "_x"))
+        asked = asked.join(extra.select(fold("word").alias("word"), F.lit(True).alias("_x")).distinct(), "word", "left").withColumn("_own", F.coalesce("_own", "_x"))
     yes = lambda k: F.coalesce(F.max(F.when(F.col("_role") == k, F.col("_own"))), F.lit(False))
     out = asked.groupBy("doc_id", "line_no", "left_part", "right_part", "joined", "hyphenated").agg(yes(0).alias("_joined"), yes(1).alias("_hyphenated"), yes(2).alias("_left_part"), yes(3).alias("_right_part"))
     return out.withColumns({"decision": _decide("decision"), "reason": _decide("reason")}).drop("_joined", "_hyphenated", "_left_part", "_right_part")

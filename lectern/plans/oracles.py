@@ -35,7 +35,7 @@ TAIL = f"([{LT}][{LT}\\p{{M}}\\p{{Nd}}_''’-]*)-[\\s]*$"
 HEAD = f"^\\s*([{LT}][{LT}\\p{{M}}\\p{{Nd}}_''’]*)"
 BREAKS = f"""{LINES}, n0 AS (SELECT doc_id, line_no, line, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS nxt FROM L),
  Br AS (SELECT doc_id, line_no, regexp_extract(line, '{TAIL}', 1) AS left_part, regexp_extract(nxt, '{HEAD}', 1) AS right_part FROM n0 WHERE regexp_matches(line, '{TAIL}') AND regexp_matches(nxt, '{HEAD}'))"""
-VOCAB = f"v0 AS (SELECT doc_id, unnest(regexp_extract_all(lower(line), '[{LT}][{LT}\\p{{M}}\\p{{Nd}}_''’-]*')) AS w FROM L), V AS (SELECT doc_id, regexp_replace(w, '^-+|-+$', '', 'g') AS word, count(*) AS n FROM v0 WHERE regexp_replace(w, '^-+|-+$', '', 'g') <> '' GROUP BY ALL)"
+VOCAB = f"v0 AS (SELECT doc_id, unnest(regexp_extract_all(replace(lower(line), 'ς', 'σ'), '[{LT}][{LT}\\p{{M}}\\p{{Nd}}_''’-]*')) AS w FROM L), V AS (SELECT doc_id, regexp_replace(w, '^-+|-+$', '', 'g') AS word, count(*) AS n FROM v0 WHERE regexp_replace(w, '^-+|-+$', '', 'g') <> '' GROUP BY ALL)"
 TOKENS = f"regexp_extract_all(nfc_normalize(coalesce(text, '')), '{WORD}')"
 _q = lambda x: x.replace("'", "''")
 _score = lambda words: "len(list_filter([" + ", ".join(f"'{_q(w)}'" for w in words) + "], lambda p: contains(t, p)))"
@@ -64,13 +64,15 @@ def oracle_sql() -> dict[str, str]:
         "licence_phrase_density": f"WITH a AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents) SELECT doc_id, {_score(H.LICENCE)} AS score, {_score(H.SCANNING)} AS scan_score FROM a",
         "heading_lines": f"WITH {LINES}, x AS (SELECT doc_id, line_no, {S} AS s FROM L), y AS (SELECT *, {strip(f'''regexp_extract(s, '{_q(divisions)}', 3)''')} AS rest, regexp_replace(s, '[^\\p{{L}}]', '', 'g') AS letters FROM x WHERE regexp_matches(s, '{_q(divisions)}')) SELECT doc_id, line_no, lower(regexp_extract(s, '{_q(divisions)}', 1)) || ' ' || lower(regexp_extract(s, '{_q(divisions)}', 2)) AS key FROM y WHERE (length(s) <= 80 OR (length(s) <= 200 AND letters = upper(letters))) AND (rest = '' OR regexp_matches(rest, '{_q(H.TITLE_START)}'))",
         "numbered_sections": f"WITH {LINES}, x AS (SELECT doc_id, line_no, {S} AS s FROM L) SELECT doc_id, line_no, s AS title FROM x WHERE length(s) <= 80 AND regexp_matches(s, '{_q(H.SECTION)}') AND (NOT regexp_matches(s, '[.,;]$') OR length(s) - length(replace(s, ' ', '')) <= 6)",
+        "extraction_class": f"WITH a AS (SELECT DISTINCT extr_id, array_to_string(coalesce(text_lines, []), chr(10)) AS t, note FROM extractions), r AS (SELECT *, CASE WHEN length(t) > 0 THEN len(regexp_extract_all(t, '[{LT}]')) / length(t) ELSE 0.0 END AS q FROM a) SELECT extr_id, length(t) AS characters, round(q, 6) AS letter_ratio, CASE WHEN length({strip('t')}) = 0 THEN 'image' WHEN length(t) >= 200 AND q < 0.35 THEN 'unmapped' WHEN coalesce(regexp_matches(lower(note), 'ocr|recogni|tesseract|abbyy|finereader'), false) THEN 'ocr' ELSE 'text' END AS kind FROM r",
+        "front_back_lines": f"WITH {LINES}, x AS (SELECT doc_id, line_no, {S} AS s FROM L), y AS (SELECT *, regexp_replace(s, '[^\\p{{L}}]', '', 'g') AS letters FROM x), z AS (SELECT doc_id, line_no, length(s) <= 80 AND (regexp_matches(s, '{_q(H.FRONT)}') OR regexp_matches(s, '{_q(H.NAMED_FRONT)}')) AS is_front, letters <> '' AND letters = upper(letters) AND regexp_matches(s, '{_q(H.BACK)}') AS is_back, length(s) <= 120 AND regexp_matches(s, '{_q(H.METADATA)}') AS is_metadata FROM y) SELECT * FROM z WHERE is_front OR is_back OR is_metadata",
         "break_profile": f"WITH {PROFILE} SELECT doc_id, line_no, block_id FROM P WHERE authorial",
         "window_break_rate": f"WITH {PROFILE} SELECT doc_id, line_no, round(avg(authorial::INT) OVER (PARTITION BY doc_id, block_id ORDER BY line_no ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING), 6) AS rate FROM P WHERE NOT blank",
         "wrapped_docs": f"WITH {LINES}, x AS (SELECT doc_id, list_sort(list(length(line))) AS l FROM L WHERE {S} <> '' GROUP BY doc_id) SELECT doc_id, len(l) AS text_lines, l[least(floor(len(l) * 0.95)::INT + 1, len(l))] AS p95, len(l) >= 10 AND l[least(floor(len(l) * 0.95)::INT + 1, len(l))] <= 200 AS is_wrapped FROM x",
         "hyphen_breaks": f"WITH {BREAKS} SELECT doc_id, line_no, left_part, right_part, left_part || right_part AS joined, left_part || '-' || right_part AS hyphenated FROM Br",
         "vocabulary_counts": f"WITH {LINES}, {VOCAB} SELECT doc_id, word, n FROM V WHERE n >= 2",
-        "hyphen_decisions": f"""WITH {BREAKS}, {VOCAB}, fr AS (SELECT doc_id, w AS word, count(*) AS f FROM (SELECT doc_id, unnest([lower(left_part), lower(right_part)]) AS w FROM Br) GROUP BY ALL), A AS (SELECT V.doc_id, V.word FROM V LEFT JOIN fr USING (doc_id, word) WHERE n > coalesce(f, 0)),
- D AS (SELECT Br.*, EXISTS (SELECT 1 FROM A WHERE A.doc_id = Br.doc_id AND A.word = lower(left_part || right_part)) AS aj, EXISTS (SELECT 1 FROM A WHERE A.doc_id = Br.doc_id AND A.word = lower(left_part || '-' || right_part)) AS ah, EXISTS (SELECT 1 FROM A WHERE A.doc_id = Br.doc_id AND A.word = lower(left_part)) AS al, EXISTS (SELECT 1 FROM A WHERE A.doc_id = Br.doc_id AND A.word = lower(right_part)) AS ar FROM Br)
+        "hyphen_decisions": f"""WITH {BREAKS}, {VOCAB}, fr AS (SELECT doc_id, w AS word, count(*) AS f FROM (SELECT doc_id, unnest([replace(lower(left_part), 'ς', 'σ'), replace(lower(right_part), 'ς', 'σ')]) AS w FROM Br) GROUP BY ALL), A AS (SELECT V.doc_id, V.word FROM V LEFT JOIN fr USING (doc_id, word) WHERE n > coalesce(f, 0)),
+ D AS (SELECT Br.*, EXISTS (SELECT 1 FROM A WHERE A.doc_id = Br.doc_id AND A.word = replace(lower(left_part || right_part), 'ς', 'σ')) AS aj, EXISTS (SELECT 1 FROM A WHERE A.doc_id = Br.doc_id AND A.word = replace(lower(left_part || '-' || right_part), 'ς', 'σ')) AS ah, EXISTS (SELECT 1 FROM A WHERE A.doc_id = Br.doc_id AND A.word = replace(lower(left_part), 'ς', 'σ')) AS al, EXISTS (SELECT 1 FROM A WHERE A.doc_id = Br.doc_id AND A.word = replace(lower(right_part), 'ς', 'σ')) AS ar FROM Br)
  SELECT doc_id, line_no, left_part || right_part AS joined, left_part || '-' || right_part AS hyphenated, CASE WHEN aj THEN 'join' WHEN ah THEN 'keep' WHEN NOT al THEN 'join' WHEN ar THEN 'keep' WHEN length(right_part) <= {hyphens.SUFFIX} THEN 'join' ELSE 'unknown' END AS decision FROM D""",
         "interface_records": f"WITH {RECORDS} SELECT doc_id, line_no, record, is_body FROM R",
         "footnote_markers": f"WITH {LINES}, f AS (SELECT doc_id, line_no, line, regexp_matches(line, '{_q(notes.BODY)}') OR regexp_matches(line, '{_q(notes.NAMED_BODY)}') AS opens, {S} = '' AS blank FROM L), e AS (SELECT *, least(coalesce(min(CASE WHEN opens OR blank THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - 1, max(line_no) OVER (PARTITION BY doc_id)), line_no + {notes.LONGEST} - 1) AS last_line FROM f), b AS (SELECT doc_id, line_no AS a, last_line AS z FROM e WHERE opens), m AS (SELECT doc_id, line_no, regexp_extract_all(line, '{_q(notes.MARKER)}') AS x FROM L WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = L.doc_id AND L.line_no BETWEEN a AND z)) SELECT doc_id, line_no, i - 1 AS pos, CASE WHEN regexp_replace(lower(x[i][2:-2]), '^0+', '') = '' THEN '0' ELSE regexp_replace(lower(x[i][2:-2]), '^0+', '') END AS label FROM m, range(1, len(x) + 1) r(i)",
