@@ -91,7 +91,12 @@ def betrayed(p: np.ndarray, starts: np.ndarray) -> np.ndarray:
     bad[:-2] |= (three[q[:-2]] & follows[1:-1] & follows[2:]) > 0
     high = ((p >= 0xA1) & (p <= 0xFF)) | ((p >= 0x2500) & (p <= 0x257F))
     dense = np.add.reduceat(high, starts, dtype=np.int64) > 0.3 * np.add.reduceat(p > 32, starts, dtype=np.int64)
-    return dense | np.logical_or.reduceat(bad, starts)
+    # Cyrillic in which capitals outnumber small letters is one Cyrillic encoding read as another
+    cyrillic = (p >= 0x400) & (p <= 0x4FF)
+    capital = ((p >= 0x410) & (p <= 0x42F)) | (p == 0x401)
+    n = np.add.reduceat(cyrillic, starts, dtype=np.int64)
+    swapped = (n >= 8) & (np.add.reduceat(capital, starts, dtype=np.int64) > 0.6 * n)
+    return dense | swapped | np.logical_or.reduceat(bad, starts)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +189,7 @@ def _readings(text: str, tried: tuple[tuple[str, str], ...] = ()) -> list[tuple[
     """Inverse mappings of ``text``: (reading, it is whole UTF-8, (wrong, right)); ``tried``: only these."""
     p = _points(text)
     high = (p > 127) & (p < 0x10000)
-    n = int(high.sum())
+    n = int((high & (p != 0xA0) & ((p < 0x2000) | (p > 0x206F) | ((p >= 0x2010) & (p <= 0x2027)))).sum())  # blanks are no evidence
     out: dict[str, tuple[bool, tuple[str, str]]] = {}
     whole = False
     for wrong in dict.fromkeys(w for w, _ in tried) if tried else WRONG:
@@ -277,10 +282,13 @@ def _repair(model: Model, left: str, run: str, right: str, hints: list[tuple[str
         if top is None:
             break
         floor, best = top[0], top[1]
+        settled = top[3] >= 0.9 and top[0] > LIVE
         if top[2] in hints:
             hints.remove(top[2])
         hints.insert(0, top[2])
         del hints[3:]
+        if settled:
+            break  # it reads well: another layer could only harm it
     return best
 
 
