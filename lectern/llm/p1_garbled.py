@@ -263,9 +263,9 @@ def _repair(model: Model, left: str, run: str, right: str, hints: list[tuple[str
     ``hints``: mappings that restored text of the same kind before; they are tried first, and one
     that gives well-supported text is taken.  Successful mappings are put in front of it.
     """
-    best, floor = None, _judge(model, left, run, [run], right)[0][0]
+    best, floor, here = None, _judge(model, left, run, [run], right)[0][0], run
     for _ in range(DEPTH):
-        here, top = run if best is None else best, None
+        top, under = None, None
         if here.isascii():
             break
         for tried in (tuple(hints), ()) if hints else ((),):
@@ -277,11 +277,17 @@ def _repair(model: Model, left: str, run: str, right: str, hints: list[tuple[str
                     good = known >= 0.6 and value > max(LIVE, floor + GAIN)
                 if good and (top is None or value > top[0]):
                     top = (value, new, how, known)
+                if full and how[1] == "utf_8" and under is None:
+                    under = new
             if top is not None and (top[3] >= 0.75 or not tried):
                 break
         if top is None:
-            break
+            if under is None:
+                break
+            here = under  # whole UTF-8 that reads no better may be the outer of two layers
+            continue
         floor, best = top[0], top[1]
+        here = best
         settled = top[3] >= 0.9 and top[0] > LIVE
         if top[2] in hints:
             hints.remove(top[2])
