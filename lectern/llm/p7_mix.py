@@ -46,9 +46,10 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def sample(sizes: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
-    """The mix: doc_id, source, n_tokens, copy_no (from 1)."""
-    quota = plan(sizes, targets).select("source", "copies_per_doc")
+def sample(sizes: DataFrame, targets: DataFrame, seed: int = SEED, full: bool = False) -> DataFrame:
+    """The mix: doc_id, source, n_tokens, copy_no (from 1).  ``full``: every document at its cap, whatever the target."""
+    quota = plan(sizes, targets)
+    quota = quota.select("source", F.col("max_repeats").cast("double").alias("copies_per_doc") if full else F.col("copies_per_doc"))
     # the targets are a table given by hand, one row per source: the join side is as small as that
     drawn = sizes.join(quota, "source").withColumn("_b", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(BUCKETS)))
     heads = drawn.groupBy("source", "_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -76,6 +77,8 @@ def shares(sizes: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
     )
 
 
-def unreachable(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """The sources whose target stays out of reach with every document at its cap."""
-    return plan(sizes, targets).where("not reachable").select("source").distinct()
+def unreachable(sizes: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
+    """The sources whose share stays below the target in the mix that holds every document at its cap."""
+    mix = sample(sizes, targets, seed, full=True).groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"))
+    held = plan(sizes, targets).join(mix, "source", "left").na.fill(0, ["mixed_tokens"])
+    return held.where("mixed_tokens < target_tokens").select("source").distinct()

@@ -85,7 +85,9 @@ def _sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_mix.unreachable(_sizes(spark, d), table(spark, d, "mix_targets"))
+    from ..session import cut
+
+    return p7_mix.unreachable(cut(_sizes(spark, d)), table(spark, d, "mix_targets"))
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
