@@ -68,7 +68,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_repairs(spark: SparkSession, d: str) -> DataFrame:
-    return p5_scans.found(table(spark, d, "extractions"), table(spark, d, "doc_lines"))[1]
+    return p5_scans.found(table(spark, d, "extractions"), table(spark, d, "doc_lines"))[1].drop("place").distinct()
 
 
 def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:

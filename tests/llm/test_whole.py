@@ -1,6 +1,6 @@
 """The queries do their whole job: the method that is named, on all rows."""
 
-from lectern.llm import p7_mix
+from lectern.llm import p5_scans, p7_mix
 
 
 def test_unreachable_sources_come_from_the_mix(spark, monkeypatch):
@@ -12,3 +12,35 @@ def test_unreachable_sources_come_from_the_mix(spark, monkeypatch):
     drawn = p7_mix.sample
     monkeypatch.setattr(p7_mix, "sample", lambda *a, **k: drawn(*a, **k).where("doc_id <> 7"))
     assert {r.source for r in p7_mix.unreachable(sizes, targets).collect()} == {"a", "ghost"}  # a mix that lacks a document falls short
+
+
+def pages(lines):
+    """The lines between page numbers, so that they are a scan."""
+    out = ["A Title Alone", ""]
+    for k in range(4):
+        out += [*lines[k::4], "", f"- {k + 11} -"]
+    return out
+
+
+def scans(spark, *docs):
+    return spark.createDataFrame([(i, "ocr", x, None, 1) for i, x in enumerate(docs, 1)], "extr_id long, kind string, text_lines array<string>, page_starts array<int>, extracted_at int")
+
+
+def none(spark):
+    return spark.createDataFrame([], "file_id long, line_no int, line string")
+
+
+def test_repairs_are_picked_by_neighbours_and_distance(spark):
+    lines = ["the heavy leaves fall slowly over town"] * 9 + ["they never fail again with help"] * 6 + ["some leaves fa1l slowly and never fa1l again", "green fa1l blue"]
+    x, text = scans(spark, pages(lines)), pages(lines)
+    _, fix = p5_scans.found(x, none(spark))
+    got = {(text[r.line_no - 1], r.place, r.right) for r in fix.collect()}
+    assert got == {(lines[15], 2, "fall"), (lines[15], 6, "fail"), (lines[16], 1, "fall")}  # no neighbour known: the smaller distance
+    shown = " ".join(r.text for r in p5_scans.paragraphs(x, none(spark)).collect())
+    assert "leaves fall slowly and never fail again" in shown and "fa1l" not in shown
+
+
+def test_a_real_word_may_stand_for_the_less_frequent_one(spark):
+    lines = ["the ban holds still"] * 20 + ["we saw hau dogs run"] * 14 + ["ein bau steht"] * 5 + ["we saw bau dogs run"]
+    _, fix = p5_scans.found(scans(spark, pages(lines)), none(spark))
+    assert {(r.word, r.right) for r in fix.collect()} == {("bau", "hau")} and fix.count() == 1
