@@ -44,3 +44,10 @@ def test_a_real_word_may_stand_for_the_less_frequent_one(spark):
     lines = ["the ban holds still"] * 20 + ["we saw hau dogs run"] * 14 + ["ein bau steht"] * 5 + ["we saw bau dogs run"]
     _, fix = p5_scans.found(scans(spark, pages(lines)), none(spark))
     assert {(r.word, r.right) for r in fix.collect()} == {("bau", "hau")} and fix.count() == 1
+
+
+def test_two_letters_read_as_one_are_found(spark):
+    assert p5_scans.distance("fumace", "furnace") == p5_scans.distance("dock", "clock") == 0.3
+    lines = ["the furnace by the clock was hot"] * 24 + ["the fumace by the dock was hot", "a bom boat"] + ["she was born here"] * 9
+    _, fix = p5_scans.found(scans(spark, pages(lines)), none(spark))
+    assert {(r.word, r.right) for r in fix.collect()} == {("fumace", "furnace"), ("dock", "clock")}  # a short word needs its neighbours
