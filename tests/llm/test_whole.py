@@ -51,3 +51,29 @@ def test_two_letters_read_as_one_are_found(spark):
     lines = ["the furnace by the clock was hot"] * 24 + ["the fumace by the dock was hot", "a bom boat"] + ["she was born here"] * 9
     _, fix = p5_scans.found(scans(spark, pages(lines)), none(spark))
     assert {(r.word, r.right) for r in fix.collect()} == {("fumace", "furnace"), ("dock", "clock")}  # a short word needs its neighbours
+
+
+def numbered(*numbers, gap=9):
+    """Pages of running text, each with its number below."""
+    lines, at = ["A Title Alone"], {}
+    for n in numbers:
+        lines += [f"some words of line {k} that run on over the page and" for k in "abcdefghi"[:gap]]
+        if n:
+            lines.append(n)
+            at[n] = len(lines) - 1
+    return lines, at
+
+
+def test_page_numbers_of_every_chain_are_found():
+    front, at = numbered("i", "ii", "iii", "iv", "1", "2", "3", "4", "5", "6")
+    assert set(p5_scans.furniture(front, None)) == set(at.values())
+    beyond, at = numbered("1", "2", "3", "4", None, None, None, None, "9", "10", "11")
+    assert set(p5_scans.furniture(beyond, None)) == set(at.values())
+    damaged, at = numbered("— 55 —", "— 56 —", "— S7 —", "— 58 —")
+    assert p5_scans.furniture(damaged, None)[at["— S7 —"]] == "page_number"
+    first, at = numbered("S2", "53", "54")
+    assert at["S2"] in p5_scans.furniture(first, None)
+    word, at = numbered("S6", "S7", "S8")  # a word for the page
+    assert set(p5_scans.furniture(word, None)) == set(at.values())
+    chapters, at = numbered("1", "II", "2", "3", "III", "4", "5", "IV", "6")
+    assert {i for n, i in at.items() if n.isdigit()} == set(p5_scans.furniture(chapters, None))  # numbers of chapters stand among those of pages
