@@ -77,3 +77,12 @@ def test_page_numbers_of_every_chain_are_found():
     assert set(p5_scans.furniture(word, None)) == set(at.values())
     chapters, at = numbered("1", "II", "2", "3", "III", "4", "5", "IV", "6")
     assert {i for n, i in at.items() if n.isdigit()} == set(p5_scans.furniture(chapters, None))  # numbers of chapters stand among those of pages
+
+
+def test_short_scans_are_not_passed_over(spark):
+    known = pages(["the heavy tower by the river was old"] * 24)
+    x = scans(spark, known, ["He saw tbe tower and the riv-", "er there."], ["the t0wer was old"])
+    files = [(7, ["Tbe heavy tower", "by the r1ver was", "old and the t0wer was"]), (8, ["the heavy t0wer", "was old"]), (9, ["the t0wer was old", "and heavy"])]
+    lines = spark.createDataFrame([(f, n, t) for f, ls in files for n, t in enumerate(ls, 1)] + [(9, 1, "the t0wer was old")], "file_id long, line_no int, line string")
+    got = {(r.origin, r.rec_id, r.line_no, r.noise) for r in p5_scans.found(x, lines)[0].where("not (origin = 'extractions' and rec_id = 1)").collect()}
+    assert got == {("extractions", 2, 1, "misread"), ("extractions", 2, 1, "broken_word"), ("extractions", 3, 1, "misread")} | {("doc_lines", 7, n, "misread") for n in (1, 2, 3)}
