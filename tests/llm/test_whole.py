@@ -86,3 +86,53 @@ def test_short_scans_are_not_passed_over(spark):
     lines = spark.createDataFrame([(f, n, t) for f, ls in files for n, t in enumerate(ls, 1)] + [(9, 1, "the t0wer was old")], "file_id long, line_no int, line string")
     got = {(r.origin, r.rec_id, r.line_no, r.noise) for r in p5_scans.found(x, lines)[0].where("not (origin = 'extractions' and rec_id = 1)").collect()}
     assert got == {("extractions", 2, 1, "misread"), ("extractions", 2, 1, "broken_word"), ("extractions", 3, 1, "misread")} | {("doc_lines", 7, n, "misread") for n in (1, 2, 3)}
+
+
+def test_words_that_the_index_knows_make_a_scan_by_themselves(spark):
+    known = pages(["the mill by the river was old and the tower stood there"] * 24)
+    files = [(1, ["He saw tbe mill by", "thc river was old", "and the tower stood", "there was the mi11", "and the river was", "by the old tower", "there and the mill", "was by the river", "and old", "the tower was there"])]
+    lines = spark.createDataFrame([(f, n, t) for f, ls in files for n, t in enumerate(ls, 1)], "file_id long, line_no int, line string")
+    cases = p5_scans.found(scans(spark, known), lines)[0].where("origin = 'doc_lines'").collect()
+    assert {(r.line_no, r.noise) for r in cases} == {(1, "misread"), (2, "misread"), (4, "misread")}
+
+
+def test_real_words_stay_where_their_neighbours_speak_for_them(spark):
+    lines = ["they had seen it and she had gone"] * 60 + ["a bad road and a bad night"] * 10
+    _, fix = p5_scans.found(scans(spark, pages(lines)), none(spark))
+    assert fix.count() == 0
+
+
+def test_a_delivery_that_is_repeated_counts_once(spark):
+    rows = [(1, n, f"only zorvath{n % 2} stood here") for n in range(1, 5)]
+    lines = spark.createDataFrame(rows + rows[:2] + [(None, None, "x"), (2, 1, None)], "file_id long, line_no int, line string")
+    got = p5_scans.once(lines).collect()
+    assert len(got) == 6 and sum(r.file_id == 1 for r in got) == 4
+
+
+def test_signs_are_the_same_joined_or_shipped(spark):
+    lines = spark.createDataFrame([(1, 1, "He saw tbe mill"), (1, 2, "a bro-"), (1, 3, "plain"), (2, 1, "- 12 -"), (2, 2, None), (2, 3, "Tbe!")], "file_id long, line_no int, line string")
+    odd = spark.createDataFrame([("tbe",)], "low string")
+    both = [{(r.file_id, r.line_no) for r in p5_scans.signs(lines, odd, small).collect()} for small in (10, 0)]
+    assert both[0] == both[1] == {(1, 1), (1, 2), (2, 1), (2, 3)}
+
+
+def test_chains_reach_over_any_distance():
+    found = [(k * 10, k) for k in range(1, 700)]
+    noise = [(k * 10 + 1 + j, 5000) for k in range(1, 700) for j in range(3)]
+    assert len(p5_scans._chains(sorted(found + noise))[0]) == 699
+
+
+def test_body_words_are_the_same_joined_or_shipped(spark):
+    docs = spark.createDataFrame([("e", 1, 1, "body", ["A", "Tbe", "mill", "tbe"], 0, 3, True), ("e", 1, 2, "body", ["tbe"], 0, 1, None), ("e", 1, 3, "body", ["It", "was", "tbe"], 1, 3, True), ("e", 1, 4, "running_head", None, None, None, None)], "origin string, rec_id long, line_no int, noise string, words array<string>, lo int, hi int, proof boolean")
+    wanted = spark.createDataFrame([("tbe",), ("was",)], "low string")
+    both = [sorted(map(str, p5_scans.body_words(docs, wanted, small).collect())) for small in (10, 0)]
+    assert both[0] == both[1] and len(both[0]) == 4
+
+
+def test_distance_of_the_differing_parts_is_the_whole_distance():
+    import itertools
+
+    full = p5_scans._weighed.__wrapped__
+    for w in map("".join, itertools.product("rnmcl", repeat=4)):
+        for r in ("rnm", "mm", "cldn", "ncl", "d", "dnl", "rmn"):
+            assert p5_scans.distance(w, r) == full(w, r) or full(w, r) > p5_scans.COST
