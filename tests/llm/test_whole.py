@@ -1,5 +1,7 @@
 """The queries do their whole job: the method that is named, on all rows."""
 
+from pyspark.sql import functions as F
+
 from lectern.llm import p5_scans, p7_mix
 
 
@@ -122,11 +124,14 @@ def test_chains_reach_over_any_distance():
     assert len(p5_scans._chains(sorted(found + noise))[0]) == 699
 
 
-def test_body_words_are_the_same_joined_or_shipped(spark):
-    docs = spark.createDataFrame([("e", 1, 1, "body", ["A", "Tbe", "mill", "tbe"], 0, 3, True), ("e", 1, 2, "body", ["tbe"], 0, 1, None), ("e", 1, 3, "body", ["It", "was", "tbe"], 1, 3, True), ("e", 1, 4, "running_head", None, None, None, None)], "origin string, rec_id long, line_no int, noise string, words array<string>, lo int, hi int, proof boolean")
-    wanted = spark.createDataFrame([("tbe",), ("was",)], "low string")
-    both = [sorted(map(str, p5_scans.body_words(docs, wanted, small).collect())) for small in (10, 0)]
-    assert both[0] == both[1] and len(both[0]) == 4
+def test_asked_words_are_the_same_joined_or_shipped(spark):
+    docs = spark.createDataFrame([("extractions", 1, None, [(1, "A Tbe mill, tbe end"), (2, "tbe"), (4, None), (5, "It was tbe and www.x.example/tbe $5 {tbe}")])], "origin string, rec_id long, starts array<int>, lines array<struct<n:int,line:string>>")
+    fix = spark.createDataFrame([("tbe",), ("was",)], "word string").withColumn("n", F.lit(9).cast("long"))
+    fix = p5_scans.candidates(fix.select("word"), spark.createDataFrame([("the", 99), ("has", 9)], "word string, n long")).withColumnRenamed("word", "low")
+    both = [p5_scans.layout(docs, fix, small).where("noise = 'asked'").collect() for small in (10, 0)]
+    assert sorted(map(str, both[0])) == sorted(map(str, both[1])) and {(r.line_no, r.place, r.before, r.low, r.after) for r in both[0]} == {(1, 1, "a", "tbe", "mill"), (1, 3, "mill", "tbe", "end"), (2, 0, "", "tbe", ""), (5, 2, "was", "tbe", "and")}
+    n = p5_scans.layout(docs, fix).where("noise = 'pair'").groupBy().sum("n").first()[0]
+    assert n == 6  # a tbe, tbe mill, mill tbe, tbe end, was tbe, tbe and: "was" has no candidate, its pairs with others don't count
 
 
 def test_distance_of_the_differing_parts_is_the_whole_distance():
