@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lectern.llm import p5_scans, p7_mix
+from lectern.llm import deliveries, p3_quality, p5_scans, p7_mix
 
 
 def test_unreachable_sources_come_from_the_mix(spark, monkeypatch):
@@ -107,7 +107,7 @@ def test_real_words_stay_where_their_neighbours_speak_for_them(spark):
 def test_a_delivery_that_is_repeated_counts_once(spark):
     rows = [(1, n, f"only zorvath{n % 2} stood here") for n in range(1, 5)]
     lines = spark.createDataFrame(rows + rows[:2] + [(None, None, "x"), (2, 1, None)], "file_id long, line_no int, line string")
-    got = p5_scans.once(lines).collect()
+    got = deliveries.once(lines).collect()
     assert len(got) == 6 and sum(r.file_id == 1 for r in got) == 4
 
 
@@ -141,3 +141,21 @@ def test_distance_of_the_differing_parts_is_the_whole_distance():
     for w in map("".join, itertools.product("rnmcl", repeat=4)):
         for r in ("rnm", "mm", "cldn", "ncl", "d", "dnl", "rmn"):
             assert p5_scans.distance(w, r) == full(w, r) or full(w, r) > p5_scans.COST
+
+
+def test_shapes_hold_on_documents_of_other_makes(spark):
+    common = {"en": "the of and to in a is that it was for on with as by at from this have not are be you he she they we his her but had all one".split()}
+    log = [f"2024-03-{d:02} 11:{d:02}:07,{d * 31 % 1000:03} WARN scheduler[{d * 7}]: worker {d} took {d * 13} ms" for d in range(1, 28)]
+    table = ["| region | opened | closed | change |", "|:--|--:|--:|--:|", *(f"| north {k} | {k * 17} | {k * 5} | {k * 1.5:.1f} |" for k in range(20))]
+    quoted = ['"station","line","height","built"', *(f'"Upper Mill {k}","green",{k * 12.25},{1800 + k}' for k in range(25))]
+    recipe = ["200 g flour", "2 eggs", "1 pinch of salt", "30 ml oil", "4 onions, chopped", "1 clove garlic", "black pepper", "2 bay leaves", "500 ml stock", "1 lemon"]
+    tasks = ["[ ] call the printer", "[x] order ink", "[ ] sort the shelves", "[ ] oil the press", "[x] pay the boatman", "[ ] water the plants"] * 2
+    program = ["import os", "", "def total(rows, key):", "    out = 0", "    for row in rows:", "        if row[key] > 3:", "            out += row[key]", "    return out", "", "print(total(load(path), 'size'))"] * 3
+    hexed = [" ".join(f"{(k * 7919 + j * 104729) % 65536:04x}" for j in range(8)) for k in range(20)]
+    letter = ["Dear Anna,", "", "we came home from the lake on Sunday, and it was raining all the way. The dog did not", "like the train at all, but he slept in the end. Mother has been asking for you; she says", "that the garden is full of plums and that nobody eats them.", "", "Write soon, and tell us how the work goes. We have not heard from your brother for a", "month, which is what he does when all is well.", "", "Yours,", "Peter"]
+    docs = {"table": [log, table, quoted], "list": [recipe, tasks], "prose": [program, letter], "junk": [hexed]}
+    rows = [(shape, d) for shape, ds in docs.items() for d in ds]
+    df = spark.createDataFrame([(i, n, x) for i, (_, d) in enumerate(rows) for n, x in enumerate(d, 1)], "file_id long, line_no int, line string")
+    got = {r.file_id: r["shape"] for r in p3_quality.shapes(df, common).collect()}
+    wrong = {i: (shape, got[i]) for i, (shape, _) in enumerate(rows) if got[i] != shape}
+    assert len(wrong) <= 1, wrong
