@@ -6,6 +6,10 @@ marks are emitted by the language of their line.  Sum-product messages go up to
 and down again and yield each line's marginals.  All potentials are counts over labelled
 pages, which are invented by ``pages`` (``PAGES`` of them: a bounded, documented sample).
 
+Lines with characters that no encoding stands for (replacement and C1 characters) emit marks by
+potentials of their own, counted on damaged pages: garbled text makes accidental marks.  All lines of
+a file are in its tree; of those that can hold no mark only their place is shuffled.
+
 Lines shown inside a code block belong to the language of the block's fence, whatever
 they look like.
 
@@ -26,8 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SYNTAX = ("plain", "html", "markdown", "wiki", "latex")
-PAGES = 600
+PAGES = 900
 SEED = 11
+SURE = 0.5  # marginal from which a language counts as used
 
 # Element names of HTML.
 TAGS = "a abbr address article aside audio b big blockquote body br button canvas caption center cite code col dd del details dfn div dl dt em fieldset figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main map mark meta nav noscript object ol option p param picture pre q s samp script section select small source span strike strong style sub summary sup svg table tbody td textarea tfoot th thead time title tr tt u ul var video wbr".split()
@@ -78,7 +83,7 @@ MARKS = {
     "tex_display": r"\\\[|\\\]|\\\(|\\\)|\$\$",
     "tex_quote": r"``[^`']+''",
     "tex_align": r"&\s*=|\\\\\s*$",
-    "tex_percent": r"^%\s",
+    "tex_percent": r"^%+\s+[^\W\d_]{2}",
 }
 NAMES = list(MARKS)
 _COMPILED = [re.compile(p) for p in MARKS.values()]
@@ -87,8 +92,10 @@ _COMPILED = [re.compile(p) for p in MARKS.values()]
 POSSIBLE = r"[<>&#*_~`|={\[\\$!+\]}]|''|^\s*[-%]|\w=[\"']"
 
 
-#: JVM-side: undecodable text is no markup
-DAMAGED = r"[\x80-\x9f\ufffd]"
+#: undecodable text
+DAMAGED = re.compile(r"[\x80-\x9f\ufffd]")
+HURT = len(MARKS)  # stands among a line's marks for damage
+PLAIN = "x"  # stands for a line that can hold no mark
 
 
 def marks_of(line: str) -> list[int]:
@@ -107,6 +114,17 @@ class _Pages:
     def word(self) -> str:
         return "".join(self.r.choice("bdfgklmnprstv") + self.r.choice("aeiouéäи") for _ in range(self.r.randint(1, 4)))
 
+    def damaged(self, lines: list[str], plain: bool) -> list[str]:
+        """Lines with some letters lost; or, of plain ones, text of a wide encoding read byte by byte."""
+        r = self.r
+        if plain and r.random() < 0.7:
+            chars, code = r.choice([((0x3042, 0x3093), "cp932"), ((0x4E00, 0x9F00), "gb18030"), ((0x4E00, 0x5FFF), "cp932"), ((0x410, 0x44F), "utf_8"), ((0x3B1, 0x3C9), "utf_8"), ((0x4E00, 0x9F00), "utf_8"), ((0xAC00, 0xD700), "euc_kr")])
+            make = lambda: " ".join("".join(chr(r.randint(*chars)) for _ in range(r.randint(2, 12))) for _ in range(r.randint(1, 6)))
+            return [make().encode(code, "ignore").decode("latin_1") for _ in range(r.randint(1, 4))]
+        letters = [c for x in lines for c in x if c.isalpha()] or [""]
+        gone = r.choice(letters)
+        return [x.replace(gone, r.choice("\ufffd\ufffd\x92\x85"), 2) if gone else x for x in lines]
+
     def text(self) -> str:
         return " ".join(self.word() for _ in range(self.r.randint(3, 12))).capitalize() + "."
 
@@ -157,9 +175,16 @@ def pages(n: int = PAGES, seed: int = SEED) -> list[list[tuple[str, list[str]]]]
         r = make.r
         langs = [r.choice(SYNTAX[1:]) for _ in range(r.choice([0, 0, 1, 1, 2]))]
         blocks = []
-        for _ in range(r.randint(2, 10)):
-            lang = "plain" if not langs or r.random() < 0.4 else r.choice(langs)
+        size = r.randint(2, 10)
+        only = r.randrange(size) if langs and r.random() < 0.4 else None  # a page with markup in one place
+        for at in range(size):
+            lang = "plain" if not langs or (r.random() < 0.4 if only is None else at != only) else r.choice(langs)
             lines = [x for _ in range(1 if lang == "plain" else r.randint(1, 3)) for x in getattr(make, lang)()]
+            if r.random() < 0.25:
+                lines = make.damaged(lines, lang == "plain")
+            if r.random() < 0.4:  # marks stand in running text
+                where = r.randint(0, len(lines)) if lang == "plain" else 0
+                lines[where:where] = [make.text() for _ in range(r.randint(1, 8))]
             blocks.append((lang, lines))
         out.append(blocks)
     return out
@@ -170,39 +195,52 @@ class Potentials:
 
     def __init__(self, labelled: list[list[tuple[str, list[str]]]]):
         k = len(SYNTAX)
-        emit, seen = np.full((k, len(NAMES)), 0.02), np.full(k, 0.5)
-        block_given = np.full((2, k), 1.0)  # file plain or rich -> block
-        root = np.full(2, 1.0)
+        emit, seen = np.full((2, k, len(NAMES)), 0.02), np.full((2, k), 0.5)  # sound and damaged lines
+        block_given = np.full((k, k), 0.3)  # main language of the file (plain: at most one block isn't) -> block
+        root = np.full(k, 1.0)
         line_given = np.full((k, k), 0.05)  # block -> line
         for blocks in labelled:
-            rich = int(any(lang != "plain" for lang, _ in blocks))
+            used = [lang for lang, _ in blocks if lang != "plain"]
+            rich = SYNTAX.index(max(used, key=used.count)) if len(used) > 1 else 0
             root[rich] += 1
             for lang, lines in blocks:
                 s = SYNTAX.index(lang)
                 block_given[rich, s] += 1
                 for line in lines:
-                    found = marks_of(line)
+                    found, hurt = marks_of(line), int(DAMAGED.search(line) is not None)
                     own = s if found or lang == "plain" else 0
                     line_given[s, own] += 1
-                    seen[own] += 1
-                    emit[own, found] += 1
+                    seen[hurt, own] += 1
+                    emit[hurt, own, found] += 1
         self.root = np.log(root / root.sum())
         self.block = np.log(block_given / block_given.sum(1, keepdims=True))
         self.line = np.log(line_given / line_given.sum(1, keepdims=True))
-        rate = emit / (seen[:, None] + 0.04)
+        rate = emit / (seen[..., None] + 0.04)
         self.present, self.absent = np.log(rate), np.log1p(-np.minimum(rate, 0.99))
+        self.bare = self.absent.sum(2)
+        self.memo: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
 
     def emission(self, marks: list[int]) -> np.ndarray:
-        out = self.absent.sum(1)
-        return out + (self.present[:, marks] - self.absent[:, marks]).sum(1) if marks else out
+        """Log likelihood of a line's marks (``HURT`` among them: the line is damaged) under each language."""
+        at, hurt = [m for m in marks if m != HURT], int(HURT in marks)
+        return self.bare[hurt] + (self.present[hurt][:, at] - self.absent[hurt][:, at]).sum(1) if at else self.bare[hurt]
+
+    def _messages(self, lines: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Emissions of a block's lines, and their messages to the block (line x block state)."""
+        key = tuple(map(tuple, lines))
+        if key not in self.memo:
+            if len(self.memo) > 20_000:
+                self.memo.clear()
+            e = np.array([self.emission(x) for x in lines])
+            self.memo[key] = e, np.logaddexp.reduce(self.line[None, :, :] + e[:, None, :], axis=2)
+        return self.memo[key]
 
     def marginals(self, blocks: list[list[list[int]]]) -> list[np.ndarray]:
         """For each block (lines as lists of marks): lines x languages, by messages up and down the tree."""
         add = np.logaddexp.reduce
         ups, beliefs = [], []
         for lines in blocks:
-            e = np.array([self.emission(m) for m in lines])
-            to_block = add(self.line[None, :, :] + e[:, None, :], axis=2)  # line x block state
+            e, to_block = self._messages(lines)
             beliefs.append((e, to_block))
             ups.append(to_block.sum(0))
         to_root = [add(self.block + up[None, :], axis=1) for up in ups]
@@ -243,6 +281,11 @@ def code_lines(lines: list[tuple[int, str]]) -> dict[int, str]:
     return out
 
 
+def _observed(line: str) -> list[int]:
+    """The line's marks, ``HURT`` with them if it is damaged."""
+    return [] if line == PLAIN else marks_of(line) + [HURT] * (DAMAGED.search(line) is not None)
+
+
 def label(lines: list[tuple[int, str]], model: Potentials) -> list[tuple[str, float, bool]]:
     """(language, marginal, in code) of each of the sorted lines of one file."""
     inside = code_lines(lines)
@@ -256,7 +299,7 @@ def label(lines: list[tuple[int, str]], model: Potentials) -> list[tuple[str, fl
             blocks.append([])
         blocks[-1].append(i)
         last = no
-    found = model.marginals([[marks_of(lines[i][1]) for i in b] for b in blocks])
+    found = model.marginals([[_observed(lines[i][1]) for i in b] for b in blocks])
     out: list[tuple[str, float, bool]] = [("plain", 1.0, False)] * len(lines)
     for b, m in zip(blocks, found):
         for i, row in zip(b, m):
@@ -275,18 +318,19 @@ def _by_file(lines: DataFrame) -> DataFrame:
 def languages(lines: DataFrame) -> DataFrame:
     """(file_id, syntax, certainty): one row per file and markup language used in it.
 
-    Only lines that can hold a mark are shuffled; a file's such lines come to one task,
-    which holds one file at a time.
+    A file's lines come to one task, which holds one file at a time; a line that can hold no mark
+    travels as ``PLAIN``.
     """
     model = potentials()
-    possible = lines.select("file_id", "line_no", "line").where(F.col("line").rlike(POSSIBLE) & ~F.col("line").rlike(DAMAGED))
+    line = F.col("line")
+    possible = lines.select("file_id", "line_no", F.when(line.rlike(POSSIBLE), line).when(line.rlike(r"\S"), F.lit(PLAIN)).otherwise(F.lit("")).alias("line"))
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, langs, sure = [], [], []
             for file_id, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = [(x["line_no"], x["line"]) for x in items]
-                if not any(marks_of(t) for _, t in own):
+                if not any(t and t != PLAIN and marks_of(t) for _, t in own):
                     continue
                 best: dict[str, float] = {}
                 for lang, p, _ in label(own, model):
@@ -310,12 +354,24 @@ def _entities(text: str) -> str:
     return html.unescape(text)
 
 
+def _without_commands(text: str) -> str:
+    """LaTeX text without its commands; what they are put around stays, but for labels and citations."""
+    text = re.sub(r"~?\\(?:label|cite|ref|pageref|index)\*?(?:\[[^\]]*\])?\{[^{}]*\}", "", text)
+    while (new := re.sub(r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1", text)) != text:
+        text = new
+    text = re.sub(r"\\(LaTeX|TeX)\b\s*(?:\{\})?", r"\1 ", text)
+    text = re.sub(r"\\[a-zA-Z]+\*?(?:\{\}|(?![a-zA-Z{])) ?", "", text)
+    text = re.sub(r"\\([%&_#${}])", r"\1", re.sub(r"\\\\(?:\[[^\]]*\])?", " ", text))
+    return re.sub(r"``([^`']*)''", r"“\1”", text).replace("---", "—").replace("~", " ")
+
+
 def _inline(text: str, lang: str) -> str:
     """One line's text without the marks of its language; formulas keep their source."""
     sub = re.sub
     if lang == "html":
         text = sub(r"<!--.*?-->", "", text)
         text = sub(r"(?i)<br\s*/?>", " ", text)
+        text = sub(r"(?i)<(code|kbd|samp|tt)(?:\s[^<>]*)?>(.*?)</\1\s*>", r"`\2`", text)  # code stays marked as such
         text = sub(rf"(?i)</?(?:{_T})(?:\s[^<>]*)?/?>", "", text)
         text = sub(r"^\s*[a-z-]+=\"[^\"]*\"\s*>", "", text)
         text = sub(rf"(?i)<(?:{_T})(?:\s[^<>]*)?$", "", text)
@@ -327,7 +383,7 @@ def _inline(text: str, lang: str) -> str:
         for _ in range(3):
             text = sub(r"(\*{1,3})(\S(?:[^*]*\S)?)\1", r"\2", text)
         text = sub(r"(?<!\w)(_{1,2})(\S(?:[^_]*\S)?)\1(?!\w)", r"\2", text)
-        return sub(r"`([^`]+)`", r"\1", sub(r"~~(.+?)~~", r"\1", text)).strip()
+        return sub(r"~~(.+?)~~", r"\1", text).strip()  # code and formulas stay marked as such
     if lang == "wiki":
         text = sub(r"(?i)\[\[(?:file|image|category):[^\[\]]*?(?:\|([^\[\]|]*))?\]\]", lambda m: m.group(1) or "", text)
         text = sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]]+)\]\]", r"\1", text)
@@ -336,40 +392,59 @@ def _inline(text: str, lang: str) -> str:
         text = sub(r"\{\{[^{}]*\}\}", "", sub(r"'{2,5}", "", text))
         return sub(r"__[A-Z]{3,}__", "", text).strip()
     if lang == "latex":
-        text = sub(r"\\(?:label|cite|ref)\{[^{}]*\}", "", text)
-        text = sub(r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1", text) if not re.search(r"\$|\\\[", text) else text
-        text = sub(r"``([^`']*)''", r"“\1”", text).replace("---", "—").replace("~", " ")
-        return text.strip()
+        # formulas keep their source, all else loses its commands
+        parts = re.split(r"(\$[^$\s](?:[^$]*[^\s$])?\$|\\\(.*?\\\))", text)
+        return "".join(x if k % 2 else _without_commands(x) for k, x in enumerate(parts)).strip()
     return text.rstrip()
 
 
-def convert(lines: list[tuple[int, str]], model: Potentials) -> list[tuple[int, str, str, str]]:
-    """(line_no, syntax, kind, text): the clean units of one file.
+def convert(lines: list[tuple[int, str]], model: Potentials) -> list[tuple[int, str, str, int | None, bool | None, str]]:
+    """(line_no, syntax, kind, level, ordered, text): the clean units of one file.
 
-    Kinds: heading, item, code, formula, cell (a table's row), quote, text.
+    Kinds: heading, item, code, formula, cell (a table's row), quote, text.  ``level``: rank of a heading
+    (from 1), depth of an item (from 1), else null; ``ordered``: whether an item's list is numbered.
     """
-    out: list[tuple[int, str, str, str]] = []
+    out: list[tuple[int, str, str, int | None, bool | None, str]] = []
     math = False
+    nest: list[bool] = []  # open lists of HTML and LaTeX: numbered or not
+    indents: list[int] = []  # open items of Markdown
     labels = label(lines, model)
     for i, ((no, raw), (lang, _, code)) in enumerate(zip(lines, labels)):
         if code:
-            out.append((no, lang, "code", _entities(raw) if lang == "html" else raw))
+            out.append((no, lang, "code", None, None, _entities(raw) if lang == "html" else raw))
             continue
-        text, kind = raw, "text"
+        text, kind, level, ordered = raw, "text", None, None
         low = raw.strip().lower()
+        if math and lang != "latex" and "$$" not in low:
+            out.append((no, lang, "formula", None, None, raw.strip()))
+            continue
+        if lang in ("markdown", "latex") and "$$" in low and re.fullmatch(r"(?:\$\$)?[^$]*(?:\$\$)?", low):
+            math = math ^ (low.count("$$") == 1)
+            if formula := raw.replace("$$", "").strip():
+                out.append((no, lang, "formula", None, None, formula))
+            continue
         if lang == "html":
-            kind = "heading" if re.match(r"<h[1-6]\b", low) else "item" if low.startswith("<li") else "cell" if re.match(r"<tr\b|<t[dh]\b", low) else "text"
+            m = re.match(r"<h([1-6])\b", low)
+            kind, level = ("heading", int(m.group(1))) if m else ("item", None) if low.startswith("<li") else ("cell", None) if re.match(r"<tr\b|<t[dh]\b", low) else ("text", None)
+            if kind == "item":
+                level, ordered = max(1, len(nest)), bool(nest and nest[-1])
+            for tag in re.findall(r"<(/?[uo]l)\b", low):
+                nest = nest[:-1] if tag[0] == "/" else [*nest, tag == "ol"]
             text = re.sub(r"(?i)</t[dh]>\s*<t[dh][^<>]*>", "\t", text)
-        elif lang == "markdown":
+        elif lang == "markdown" or lang == "plain" and indents and re.match(r"\s*(?:[-+*]|\d+[.)])\s+\S", text):
             if re.match(r"(```|~~~)", low) or re.fullmatch(r"[|:\s-]+", low) or re.match(r"^\[[^\[\]]+\]:\s", low):
                 continue
             if re.fullmatch(r"={3,}|-{3,}", low) and out and out[-1][0] == no - 1:
-                out[-1] = (out[-1][0], lang, "heading", out[-1][3])
+                out[-1] = (out[-1][0], lang, "heading", 1 if low[0] == "=" else 2, None, out[-1][5])
                 continue
-            if m := re.match(r"#{1,6}\s+(.*?)(?:\s+#+)?\s*$", text):
-                kind, text = "heading", m.group(1)
-            elif m := re.match(r"\s*(?:[-+*]|\d+[.)])\s+(.*)", text):
-                kind, text = "item", m.group(1)
+            if m := re.match(r"(#{1,6})\s+(.*?)(?:\s+#+)?\s*$", text):
+                kind, level, text = "heading", len(m.group(1)), m.group(2)
+            elif m := re.match(r"(\s*)([-+*]|\d+[.)])\s+(.*)", text):
+                while indents and indents[-1] > len(m.group(1)):
+                    indents.pop()
+                if not indents or indents[-1] < len(m.group(1)):
+                    indents.append(len(m.group(1)))
+                kind, level, ordered, text = "item", len(indents), m.group(2)[0].isdigit(), m.group(3)
             elif m := re.match(r">\s?(.*)", text):
                 kind, text = "quote", m.group(1)
             elif re.match(r"\s*\|.*\|\s*$", text):
@@ -377,42 +452,47 @@ def convert(lines: list[tuple[int, str]], model: Potentials) -> list[tuple[int,
         elif lang == "wiki":
             if re.match(r"\{\||\|\}|\|-|\{\{[^{}]*$|\}\}\s*$", low):
                 continue
-            if m := re.match(r"(={2,6})\s*(.*?)\s*\1\s*$", text):
-                kind, text = "heading", m.group(2)
-            elif m := re.match(r"[*#:;]+\s*(.*)", text):
-                kind, text = "item", m.group(1)
+            if m := re.match(r"(={1,6})\s*(.*?)\s*\1\s*$", text):
+                kind, level, text = "heading", len(m.group(1)), m.group(2)
+            elif m := re.match(r"([*#:;]+)\s*(.*)", text):
+                kind, level, ordered, text = "item", len(m.group(1)), m.group(1)[-1] == "#", m.group(2)
             elif m := re.match(r"[|!]\s*(.*)", text):
                 kind, text = "cell", re.sub(r"\s*(?:\|\||!!)\s*", "\t", m.group(1))
         elif lang == "latex":
             if m := re.match(r"\\(begin|end)\{(\w+)\*?\}", low):
                 math = m.group(1) == "begin" and m.group(2) in ("align", "equation", "gather", "displaymath", "math", "eqnarray")
+                if m.group(2) in ("itemize", "enumerate", "description"):
+                    nest = [*nest, m.group(2) == "enumerate"] if m.group(1) == "begin" else nest[:-1]
                 continue
             if re.match(r"%", low):
                 continue
-            if m := re.match(r"\\(?:part|chapter|(?:sub)*section|title)\*?\{(.*?)\}", text.strip()):
-                kind, text = "heading", m.group(1)
+            if m := re.match(r"\\(part|chapter|(?:sub)*section|title)\*?\{(.*?)\}", text.strip()):
+                kind, level, text = "heading", {"part": 1, "title": 1, "chapter": 1}.get(m.group(1), 2 + m.group(1).count("sub")), m.group(2)
             elif m := re.match(r"\s*\\item\b\s*(.*)", text):
-                kind, text = "item", m.group(1)
-            elif math or re.match(r"\\\[|\$\$", low):
-                kind, text = "formula", re.sub(r"\\\[|\\\]|\$\$|\\\\\s*$", "", text).strip()
-                out.append((no, lang, kind, text))
+                kind, level, ordered, text = "item", max(1, len(nest)), bool(nest and nest[-1]), m.group(1)
+            elif math or re.match(r"\\\[", low):
+                text = re.sub(r"\\\[|\\\]|\\\\\s*$", "", text).strip()
+                out.append((no, lang, "formula", None, None, text))
                 continue
-        clean = _inline(text, lang)
+        if kind != "item" and text.strip() and not raw[:1].isspace():
+            indents = []
+        clean = _inline(text, "markdown" if lang == "plain" and kind == "item" else lang)
         if clean or not raw.strip():
-            out.append((no, lang, kind, clean))
+            out.append((no, lang, kind, level, ordered, clean))
     return out
 
 
 def clean(lines: DataFrame) -> DataFrame:
-    """The files that carry markup, as (file_id, line_no, syntax, kind, text)."""
+    """The files that carry markup, as (file_id, line_no, syntax, kind, level, ordered, text): see :func:`convert`."""
     model = potentials()
-    rich = languages(lines).select("file_id").distinct()
+    rich = languages(lines).where(F.col("certainty") > SURE).select("file_id").distinct()
     whole = lines.select("file_id", "line_no", F.coalesce("line", F.lit("")).alias("line")).join(rich, "file_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(f, *unit) for f, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for unit in convert([(x["line_no"], x["line"]) for x in items], model)]
-            cols = list(zip(*rows)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.string()) for c in cols[2:]]], names=["file_id", "line_no", "syntax", "kind", "text"])
+            cols = list(zip(*rows)) if rows else [()] * 7
+            kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["file_id", "line_no", "syntax", "kind", "level", "ordered", "text"])
 
-    return _by_file(whole).mapInArrow(run, "file_id long, line_no int, syntax string, kind string, text string")
+    return _by_file(whole).mapInArrow(run, "file_id long, line_no int, syntax string, kind string, level int, ordered boolean, text string")

@@ -35,7 +35,7 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return p2_markup.languages(_lines(spark, d)).where("certainty > 0.5").select("file_id", "syntax")
+    return p2_markup.languages(_lines(spark, d)).where(F.col("certainty") > p2_markup.SURE).select("file_id", "syntax")
 
 
 def p2_clean(spark: SparkSession, d: str) -> DataFrame:

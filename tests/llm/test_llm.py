@@ -90,7 +90,7 @@ def test_marginals_equal_enumeration():
     k, lines = len(p2_markup.SYNTAX), [x for b in blocks for x in b]
     owner = [0, 0, 1]
     total = np.zeros((len(lines), k))
-    for root in range(2):
+    for root in range(len(m.root)):
         for bs in itertools.product(range(k), repeat=2):
             for ls in itertools.product(range(k), repeat=3):
                 w = m.root[root] + sum(m.block[root, b] for b in bs) + sum(m.line[bs[owner[i]], s] + m.emission(lines[i])[s] for i, s in enumerate(ls))

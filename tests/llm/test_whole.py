@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lectern.llm import deliveries, p3_quality, p5_scans, p7_mix
+from lectern.llm import deliveries, p2_markup, p3_quality, p5_scans, p7_mix
 
 
 def test_unreachable_sources_come_from_the_mix(spark, monkeypatch):
@@ -159,3 +159,20 @@ def test_shapes_hold_on_documents_of_other_makes(spark):
     got = {r.file_id: r["shape"] for r in p3_quality.shapes(df, common).collect()}
     wrong = {i: (shape, got[i]) for i, (shape, _) in enumerate(rows) if got[i] != shape}
     assert len(wrong) <= 1, wrong
+
+
+def test_marks_in_damaged_lines_count(spark):
+    files = [["<h2>Caf\ufffd hours</h2>", "", "<p>Open at n\ufffdne</p>"], ["plain text that is\ufffd damaged", "and goes on"]]
+    df = spark.createDataFrame([(i, n, x) for i, ls in enumerate(files, 1) for n, x in enumerate(ls, 1)], "file_id long, line_no int, line string")
+    assert [(r.file_id, r.syntax) for r in p2_markup.languages(df).where("certainty > 0.5").collect()] == [(1, "html")]
+
+
+def test_structure_is_kept():
+    def units(*lines):
+        return [(u[2], u[3], u[4], u[5]) for u in p2_markup.convert(list(enumerate(lines, 1)), p2_markup.potentials()) if u[5]]
+
+    assert units("\\section{One}", "\\begin{enumerate}", "\\item \\textbf{x} and \\emph{y} with $a_1$", "\\end{enumerate}", "It is \\textbf{bold \\emph{too}} at 5\\%.") == [("heading", 2, None, "One"), ("item", 1, True, "x and y with $a_1$"), ("text", None, None, "It is bold too at 5%.")]
+    got = units("## Two", "", "- **a** x", "  - [b](c.md) y", "1. `c()` z", "", "See **d**.")
+    assert got == [("heading", 2, None, "Two"), ("item", 1, False, "a x"), ("item", 2, False, "b y"), ("item", 1, True, "`c()` z"), ("text", None, None, "See d.")]
+    assert units("[a](b.md) **c**", "", "$$ E = mc^2 $$", "", "$$", "x + y", "$$", "", "## Two", "[d](e.md)")[1:4] == [("formula", None, None, "E = mc^2"), ("formula", None, None, "x + y"), ("heading", 2, None, "Two")]
+    assert units("<ol>", "  <li>one <b>b</b></li>", "</ol>", "<h3>Three</h3>") == [("item", 1, True, "one b"), ("heading", 3, None, "Three")]
