@@ -35,6 +35,7 @@ BLANK = ((0x09, 0x09), (0x0B, 0x0D), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680
 SAME_PRINT = ((0x2E80, 0x2FDF), (0xFB00, 0xFB06), (0xFF00, 0xFFEF))
 
 SHORTEST = 20  # characters a line must have to be paired
+SPLIT = 1000  # lines of one spelling that are paired in one task
 
 
 def _within(c: int, ranges: tuple) -> bool:
@@ -170,12 +171,11 @@ def canonical(lines: DataFrame, line: str, keep: list[str], form: dict[str, str]
     return python.unionByName(table.where(F.col("line").isNull() | plain).withColumn("canonical", F.rtrim("line")))
 
 
-def pairs(lines: DataFrame, form: dict[str, str] | None = None, shortest: int = SHORTEST) -> DataFrame:
-    """Pairs of (file_id, line_no) whose lines print alike but differ; smaller key first.
+def _members(lines: DataFrame, form: dict[str, str] | None, shortest: int) -> tuple[DataFrame, DataFrame]:
+    """(members, spellings) of the classes of lines that print alike in more than one spelling.
 
-    A class of lines can only hold a pair if some line of it is not written in its form,
-    so only classes of such lines are looked at.  Different spellings of a class are paired
-    first (there are few), then spread over their lines: copies are never compared.
+    members: class (k1, k2), spelling (h), file_id, line_no; spellings: class, spelling, n, first (file_id, line_no).
+    A class can only hold a pair if some line of it is not written in its form, so only such classes are looked at.
     """
     form = fit(lines.select("line")) if form is None else form
     whole = lines.select("file_id", "line_no", "line").where(F.length("line") >= shortest)
@@ -185,15 +185,39 @@ def pairs(lines: DataFrame, form: dict[str, str] | None = None, shortest: int =
         F.xxhash64("line").alias("h"), (F.col("line") != F.col("canonical")).alias("changed"),
     )
     keyed = cut(keyed)
-    classes = keyed.where("changed").select("k1", "k2").distinct()
-    several = keyed.join(classes, ["k1", "k2"], "left_semi").groupBy("k1", "k2", "h").agg(F.count(F.lit(1)).alias("_n"))
+    changed = keyed.where("changed").select("k1", "k2").distinct()
+    several = keyed.join(changed, ["k1", "k2"], "left_semi").groupBy("k1", "k2", "h").agg(F.count(F.lit(1)).alias("_n"))
     mixed = several.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("_v")).where("_v > 1").select("k1", "k2")
     members = cut(keyed.join(mixed, ["k1", "k2"]).select("k1", "k2", "h", "file_id", "line_no").distinct())
-    spelled = members.select("k1", "k2", "h").distinct()
-    two = spelled.alias("a").join(spelled.alias("b"), ["k1", "k2"]).where("a.h < b.h").select("k1", "k2", F.col("a.h").alias("ha"), F.col("b.h").alias("hb"))
-    one = members.select("k1", "k2", F.col("h").alias("ha"), F.struct("file_id", "line_no").alias("x"))
-    other = members.select("k1", "k2", F.col("h").alias("hb"), F.struct("file_id", "line_no").alias("y"))
-    both = two.join(one, ["k1", "k2", "ha"]).join(other, ["k1", "k2", "hb"])
+    spellings = members.groupBy("k1", "k2", "h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file_id", "line_no")).alias("first"))
+    return members, spellings
+
+
+def classes(lines: DataFrame, form: dict[str, str] | None = None, shortest: int = SHORTEST) -> DataFrame:
+    """(class_id, spelling, lines, file_id, line_no): one row per spelling of each class of lines that print
+    alike, how many lines are spelled so, and the first of them; copies are counted, not listed.
+    """
+    spellings = _members(lines, form, shortest)[1]
+    return spellings.select(F.col("k1").alias("class_id"), F.col("h").alias("spelling"), F.col("n").alias("lines"), "first.file_id", "first.line_no")
+
+
+def pairs(lines: DataFrame, form: dict[str, str] | None = None, shortest: int = SHORTEST, split: int = SPLIT) -> DataFrame:
+    """Pairs of (file_id, line_no) whose lines print alike but differ; smaller key first.
+
+    Different spellings of a class are paired first (there are few), then spread over their lines: copies
+    are never compared.  The lines of a spelling are dealt to parts of about ``split``, and each part of
+    one meets each part of the other, so that no task holds a frequent spelling whole.
+    """
+    members, spellings = _members(lines, form, shortest)
+    spellings = spellings.withColumn("parts", F.ceil(F.col("n") / split).cast("int")).drop("first", "n")
+    parted = members.join(spellings, ["k1", "k2", "h"]).withColumn("part", F.pmod(F.xxhash64("file_id", "line_no"), F.col("parts")).cast("int"))
+    every = lambda side: F.explode(F.sequence(F.lit(0), F.col(f"{side}.parts") - 1))
+    two = spellings.alias("a").join(spellings.alias("b"), ["k1", "k2"]).where("a.h < b.h")
+    two = two.select("k1", "k2", F.col("a.h").alias("ha"), F.col("b.h").alias("hb"), F.col("b.parts").alias("_pb"), every("a").alias("pa"))
+    two = two.select("k1", "k2", "ha", "hb", "pa", F.explode(F.sequence(F.lit(0), F.col("_pb") - 1)).alias("pb"))
+    one = parted.select("k1", "k2", F.col("h").alias("ha"), F.col("part").alias("pa"), F.struct("file_id", "line_no").alias("x"))
+    other = parted.select("k1", "k2", F.col("h").alias("hb"), F.col("part").alias("pb"), F.struct("file_id", "line_no").alias("y"))
+    both = two.join(one, ["k1", "k2", "ha", "pa"]).join(other, ["k1", "k2", "hb", "pb"])
     low, high = F.least("x", "y"), F.greatest("x", "y")
     return both.where("x <> y").select(
         low["file_id"].alias("file_id_1"), low["line_no"].alias("line_no_1"), high["file_id"].alias("file_id_2"), high["line_no"].alias("line_no_2")

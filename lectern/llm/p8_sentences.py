@@ -24,10 +24,13 @@ DOT, SPEECH, BREAK, GAP = "", "", "", ""
 # Abbreviations that a name or more of the sentence always follows.
 TITLES = (
     "Dr Mr Mrs Ms Prof Capt St Gen Col Lt Sgt Rev Hon Messrs Mt Sr Sra Srta Dra Dña Mme Mlle MM Mgr Frl geb z d т г гг ул проф акад им тов д-р гр κ κα κκ δρ καθ "
-    "डॉ प्रो श्री د أ ดร ศ นาย Co cf vs bzw ca approx dept av p pp pág págs"
+    "डॉ प्रो श्री د أ ดร ศ นาย Co cf vs bzw ca approx dept av p pp pág págs e.g i.e z.B d.h u.a i.d.R p.ej p.ex c.-à-d т.е т.к"
 ).split()
 # Abbreviations that go on if a number follows.
-NUMBERED = "No Nos Nr núm fig figs Fig Abb vol Vol Bd S c ca est lb oz n стр рис гл табл № σελ εικ ch art sec Sec ed Kap".split()
+NUMBERED = "No Nos Nr núm fig figs Fig Abb vol Vol Bd S c ca est lb oz n стр рис гл табл № σελ εικ ch art sec Sec ed Kap Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec".split()
+# Nouns whose letter is a label and no initial, and words that open a sentence after a single letter.
+LABELLED = "Plan|[Vv]itamin|[Ss]ection|Type|Class|Group|Table|Exhibit|Option|Appendix|Grade|Gate|Block|Abschnitt|Klasse|Gruppe|Anhang|groupe|classe|annexe|grupo|clase|anexo"
+OPENERS = "Then|It|He|She|The|They|We|But|This|That|There|You|When|Er|Sie|Es|Der|Die|Das|Dann|Wir|Il|Elle|Ils|Elles|Puis|Ella|Ellos|Luego|Он|Она|Они|Это"
 # Months that follow an ordinal number with a dot.
 MONTHS = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jahrhundert|Jh"
 # Verbs that tie speech to its speaker, where letter case does not show it.
@@ -57,12 +60,14 @@ MASK_DOT = "\\.(?:" + "|".join(
         r"(?<=(?<![\p{L}\p{M}])\p{L}\.)(?=\p{L}\p{M}*\.)",
         rf"(?<=(?<![\p{{L}}\p{{M}}])(?:{_alternatives(TITLES)})\.)",
         rf"(?<=(?<![\p{{L}}\p{{M}}])(?:{_alternatives(NUMBERED)})\.)(?=\s*\p{{N}})",
-        r"(?<=(?<![\p{L}\p{M}\p{N}])\p{Lu}\.)(?=\s*\S)",
+        rf"(?<=(?<![\p{{L}}\p{{M}}\p{{N}}])(?<!\b(?:{LABELLED}) )\p{{Lu}}\.)(?=\s*\S)(?!\s+(?:{OPENERS})[\s,])",
         r"(?<=(?:^|\n)[ \t]{0,8}\p{N}{1,3}\.)(?=\s)",
         rf"(?<=(?<![\p{{N}}.,])\p{{N}}{{1,2}}\.)(?=\s+(?:{MONTHS})\b)",
         r"(?<=(?:[ดศ]ร|ผศ|รศ|พ|ค|น)\.)(?=[\u0e00-\u0e7f])",
     ]
 ) + ")"
+#: marks inside addresses: what follows the mark is part of the address as well
+MASK_URL = r"[.?!;](?<=\b(?:https?://|www\.)[^\s<>\"“”«»]{0,300}.)(?=[^\s<>\"“”«».,;:!?)]|[.,;:!?)]+[^\s<>\"“”«».,;:!?)])"
 #: marks inside speech whose speaker follows (the mark and the closing quote are matched first)
 MASK_SPEECH = f"[{_ANY},](?=[{_ANY}]*[ \\u00a0\\u202f]?[”“»\"’」』](?:" + "|".join(
     [
@@ -93,7 +98,8 @@ ENDS = (
 
 def masked(text: Column) -> Column:
     """``text`` with every mark that ends nothing masked, one character for one."""
-    out = F.regexp_replace(text, MASK_DOT, DOT)
+    urls = F.when(text.rlike(r"://|www\\."), F.regexp_replace(text, MASK_URL, DOT)).otherwise(text)
+    out = F.regexp_replace(urls, MASK_DOT, DOT)
     out = F.regexp_replace(out, MASK_SPEECH, SPEECH)
     # a menu line's blanks, which in scripts that end sentences by blanks would part its items
     thai = F.regexp_replace(out, rf"(?<={_TH})[ \t](?=[ \t])|(?<=[ \t])[ \t](?={_TH})", GAP)

@@ -59,6 +59,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_lookalike.pairs(_lines(spark, d))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    return p4_lookalike.classes(_lines(spark, d))
+
+
 def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return p4_lookalike.canonical(_lines(spark, d), "line", ["file_id", "line_no"]).select("file_id", "line_no", "canonical").distinct()
 
@@ -124,6 +128,7 @@ def queries() -> dict[str, Query]:
         "p3_found": p3_found,
         "p3_stats": p3_stats,
         "p4_found": p4_found,
+        "p4_classes": p4_classes,
         "p4_forms": p4_forms,
         "p5_found": p5_found,
         "p5_repairs": p5_repairs,

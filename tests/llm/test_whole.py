@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lectern.llm import deliveries, p2_markup, p3_quality, p5_scans, p7_mix
+from lectern.llm import deliveries, p2_markup, p3_quality, p4_lookalike, p5_scans, p7_mix, p8_sentences
 
 
 def test_unreachable_sources_come_from_the_mix(spark, monkeypatch):
@@ -176,3 +176,30 @@ def test_structure_is_kept():
     assert got == [("heading", 2, None, "Two"), ("item", 1, False, "a x"), ("item", 2, False, "b y"), ("item", 1, True, "`c()` z"), ("text", None, None, "See d.")]
     assert units("[a](b.md) **c**", "", "$$ E = mc^2 $$", "", "$$", "x + y", "$$", "", "## Two", "[d](e.md)")[1:4] == [("formula", None, None, "E = mc^2"), ("formula", None, None, "x + y"), ("heading", 2, None, "Two")]
     assert units("<ol>", "  <li>one <b>b</b></li>", "</ol>", "<h3>Three</h3>") == [("item", 1, True, "one b"), ("heading", 3, None, "Three")]
+
+
+def test_frequent_spellings_are_paired_in_parts(spark):
+    base = "The cafe office keeps the old ledger here"
+    other = base.replace("o", "о")
+    rows = [(1, n, base) for n in range(1, 8)] + [(2, n, other) for n in range(1, 6)] + [(3, 1, None), (3, 2, ""), (3, 3, base)]
+    df = spark.createDataFrame(rows, "file_id long, line_no int, line string")
+    got = [{tuple(r) for r in p4_lookalike.pairs(df, split=k).collect()} for k in (2, 1000)]
+    assert got[0] == got[1] and len(got[0]) == 8 * 5
+    assert {(r.lines, r.file_id, r.line_no) for r in p4_lookalike.classes(df).collect()} == {(8, 1, 1), (5, 2, 1)}
+
+
+def test_addresses_labels_and_abbreviations(spark):
+    texts = {
+        "See https://a.example/search?Query=Mill&x=1.Two and go. Next one?": ["See https://a.example/search?Query=Mill&x=1.Two and go.", "Next one?"],
+        "See e.g. Paris and i.e. Rome. Then go.": ["See e.g. Paris and i.e. Rome.", "Then go."],
+        "Plan B. Then we left.": ["Plan B.", "Then we left."],
+        "He met J. R. Smith. It was late.": ["He met J. R. Smith.", "It was late."],
+        "He lives in the U.S. It is big.": ["He lives in the U.S.", "It is big."],
+        "Dated Jan. 5 of that year. It ended.": ["Dated Jan. 5 of that year.", "It ended."],
+        "Ask www.x.example/a?B. Then go.": ["Ask www.x.example/a?B.", "Then go."],
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in p8_sentences.units(df, content=True).orderBy("unit_no").collect():
+        got.setdefault(r.doc_id, []).append(r.unit)
+    assert list(dict(sorted(got.items())).values()) == list(texts.values())
