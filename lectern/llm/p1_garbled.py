@@ -6,8 +6,9 @@ mappings (back to bytes by the encoding that was used, forward by the one that s
 have been) are tried only inside those runs, and the one whose result is most probable
 by the same scores is taken if it beats what was there.
 
-Pair counts go into a table of fixed size (``PAIRS`` hashed cells), so the model is
-bounded whatever the corpus.  Lines whose bytes plainly betray a wrong decoding are
+Pair counts go into two hashed tables, which are sized by the number of distinct pairs: where
+more than ``FILLED`` of the cells are taken, so that pairs never seen could pass for known, the
+pairs are counted again in larger tables (2**``BITS`` to 2**``MOST_BITS`` cells: the model is bounded).  Lines whose bytes plainly betray a wrong decoding are
 left out of the counts, else garbled text would look familiar; support is asked for as
 a rate of the corpus, so that the model behaves alike at every size.
 
@@ -27,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PAIRS = 1 << 20  # cells of one of the two pair tables
+BITS, MOST_BITS = 20, 25  # cells of one of the two pair tables, as a power of two
+FILLED = 0.06  # share of cells taken from which the tables are too small: of pairs never seen 0.4 % meet two taken cells
 POINTS = 0x110000  # code points
 SUPPORT = 2e-7  # share of all pairs from which a pair counts as known
 LEAST = 3  # and at least so many occurrences
@@ -38,8 +40,8 @@ LIVE = 0.0  # least mean score of a mapping's result
 DEPTH = 3  # text may have been decoded wrongly several times over
 
 # Encodings that text is wrongly decoded with, and those it is written in.
-WRONG = ("cp1252", "latin_1", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp866", "cp1250", "cp1253", "iso8859_15", "gb18030", "cp932", "big5")
-RIGHT = ("utf_8", "gb18030", "cp932", "euc_jp", "big5", "euc_kr", "cp1251", "koi8_r", "cp866", "cp1253", "cp1255", "cp1256", "cp874", "cp1252", "mac_roman", "cp437", "cp850")
+WRONG = ("cp1252", "latin_1", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp866", "cp1250", "cp1253", "iso8859_15", "cp1254", "iso8859_2", "gb18030", "cp932", "big5")
+RIGHT = ("utf_8", "gb18030", "cp932", "euc_jp", "big5", "euc_kr", "cp1251", "koi8_r", "cp866", "cp1253", "cp1255", "cp1256", "cp874", "cp1250", "iso8859_2", "cp1254", "cp1257", "cp1252", "mac_roman", "cp437", "cp850")
 WIDE = {"utf_8", "gb18030", "cp932", "euc_jp", "big5", "euc_kr"}
 
 SUSPECT = "[^\\x00-\\x7f]"  # lines without such a character can't be cases
@@ -63,10 +65,10 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
 
 
-def _cells(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _cells(p: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Each pair's cell in the first and in the second table; the smaller count is taken (count-min)."""
     mixed = (p[:-1] * np.int64(2654435761) + p[1:] * np.int64(40503)) & np.int64(0x7FFFFFFFFFFF)
-    return (mixed ^ (mixed >> 17)) & (PAIRS - 1), PAIRS + (((mixed >> 9) * np.int64(0x9E3779B1) >> 21) & (PAIRS - 1))
+    return (mixed ^ (mixed >> 17)) & ((1 << bits) - 1), (1 << bits) + (((mixed >> 9) * np.int64(0x9E3779B1) >> 21) & ((1 << bits) - 1))
 
 
 @lru_cache(None)
@@ -99,9 +101,9 @@ def betrayed(p: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return dense | swapped | np.logical_or.reduceat(bad, starts)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """(cell, n): counts of pairs, and of single code points as negative cells."""
-    pairs, single = np.zeros(2 * PAIRS, np.int64), np.zeros(POINTS, np.int64)
+    pairs, single = np.zeros(2 << bits, np.int64), np.zeros(POINTS, np.int64)
     for batch in batches:
         texts = batch.column(0).to_pylist()
         lines = "\n".join(t for t in texts if t)
@@ -113,8 +115,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good = np.repeat(~betrayed(p, starts), ends + 1 - starts)
         single += np.bincount(p[good], minlength=POINTS)
         inside = good[:-1] & (p[:-1] != 10) & (p[1:] != 10)
-        for cell in _cells(p):
-            pairs += np.bincount(cell[inside], minlength=2 * PAIRS)
+        for cell in _cells(p, bits):
+            if bits == BITS:
+                pairs += np.bincount(cell[inside], minlength=len(pairs))
+            else:
+                np.add.at(pairs, cell[inside], 1)
     for table, sign in ((pairs, 1), (single, -1)):
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(at if sign > 0 else -1 - at, pa.int64()), "n": pa.array(table[at], pa.int64())})
@@ -123,26 +128,32 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Pair scores of a corpus."""
 
-    def __init__(self, cells: np.ndarray, n: np.ndarray):
-        pairs, single = np.zeros(2 * PAIRS), np.zeros(POINTS)
+    def __init__(self, cells: np.ndarray, n: np.ndarray, bits: int = BITS):
+        self.bits = bits
+        pairs, single = np.zeros(2 << bits), np.zeros(POINTS)
         pairs[cells[cells >= 0]] = n[cells >= 0]
         single[-1 - cells[cells < 0]] = n[cells < 0]
-        total = max(1.0, float(pairs[:PAIRS].sum()))
+        total = max(1.0, float(pairs[: 1 << bits].sum()))
         self.known = np.float32(np.log(max(LEAST, SUPPORT * total) + 0.1))
         self.total = np.float32(np.log(total))
         self.pairs, self.logs = np.log(pairs + 0.1).astype(np.float32), np.log(single + 1.0).astype(np.float32)
 
     def scores(self, p: np.ndarray) -> np.ndarray:
         """Mutual information of each adjacent pair of ``p``, in nats; improbable without support."""
-        one, two = _cells(p)
+        one, two = _cells(p, self.bits)
         n, log = np.minimum(self.pairs[one], self.pairs[two]), self.logs[p]
         return np.where(n >= self.known, np.maximum(n + self.total - log[:-1] - log[1:], np.float32(-4.0)), np.float32(IMPROBABLE))
 
 
-def fit(texts: DataFrame) -> Model:
-    """Count all of the single string column of ``texts``; at most ``2 * PAIRS + POINTS`` cells come to the driver."""
-    got = texts.mapInArrow(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    return Model(got.column("cell").to_numpy(), got.column("n").to_numpy())
+def fit(texts: DataFrame, bits: int = BITS) -> Model:
+    """Count all of the single string column of ``texts``; what comes to the driver is bounded by the tables' size."""
+    got = texts.mapInArrow(lambda batches: _count(batches, bits), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells, n = got.column("cell").to_numpy(), got.column("n").to_numpy()
+    taken = float(((cells >= 0) & (cells < 1 << bits)).sum()) / (1 << bits)
+    if taken > FILLED and bits < MOST_BITS:
+        distinct = -np.log1p(-min(taken, 1 - 1e-9)) * (1 << bits)  # linear counting
+        return fit(texts, int(np.clip(np.ceil(np.log2(distinct / FILLED)), bits + 1, MOST_BITS)))
+    return Model(cells, n, bits)
 
 
 def _segments(p: np.ndarray, score: np.ndarray) -> list[tuple[int, int]]:
@@ -156,14 +167,20 @@ def _segments(p: np.ndarray, score: np.ndarray) -> list[tuple[int, int]]:
     up = rise[1:] > 0
     if not up.any():
         return []
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], up, [False]]).astype(np.int8)))
-    found = []
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-        part = rise[a + 1 : b + 1]
-        k = int(part.argmax())
-        if part[k] >= SEGMENT:
-            found.append((a, a + k + 2))
-    return found
+    found, open_ = [], [(0, up)]
+    while open_:
+        at, up = open_.pop()
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], up, [False]]).astype(np.int8))) + at
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            part = c[a : b + 1] - np.minimum.accumulate(c[a : b + 1])
+            k = int(part.argmax())
+            if part[k] >= SEGMENT:
+                found.append((a, a + k + 1))
+                rest = c[a + k : b + 1]  # what comes after its highest point may hold further runs
+                rest = (rest - np.minimum.accumulate(rest))[1:] > 0
+                if rest.any():
+                    open_.append((a + k, rest))
+    return sorted(found)
 
 
 _UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
@@ -210,7 +227,7 @@ def _readings(text: str, tried: tuple[tuple[str, str], ...] = ()) -> list[tuple[
             if covered:
                 whole |= covered >= n
                 out.setdefault(new, (covered >= n, (wrong, "utf_8")))
-        if lost or n < 3 or whole:
+        if lost or n < 3 and not tried or whole:  # one or two signs are read as an earlier run of the line was
             continue
         data = raw.encode("latin_1")
         for right in RIGHT[1:]:
@@ -299,8 +316,7 @@ def _repair(model: Model, left: str, run: str, right: str, hints: list[tuple[str
 
 
 def _restore(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo: dict[tuple[str, str, str], str | None] = {}
-    hints: list[tuple[str, str]] = []
+    memo: dict[tuple, tuple[str | None, list[tuple[str, str]]]] = {}
     for batch in batches:
         texts = batch.column(batch.num_columns - 1).to_pylist()
         rows, line_no, before, after, restorable = [], [], [], [], []
@@ -318,26 +334,26 @@ def _restore(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
             for a, b in _segments(p, score):
                 if (p[a:b] > 127).any():
                     hit.setdefault(int(np.searchsorted(starts, a, "right")) - 1, []).append((a, b))
-            lost = np.flatnonzero((p == 0xFFFD) | ((p >= 0x80) & (p <= 0x9F) & (p != 0x85)))
-            for line in np.searchsorted(starts, lost, "right") - 1:
-                hit.setdefault(int(line), [])
             for line, runs in sorted(hit.items()):
                 s, e = int(starts[line]), int(ends[line])
+                hints: list[tuple[str, str]] = []  # mappings that restored an earlier run of the line
                 old = joined[s:e]
                 out, at, done = [], s, False
                 for a, b in runs:
                     a, b = max(a, s), min(b, e)
-                    key = (joined[max(s, a - 2) : a], joined[a:b], joined[b : min(e, b + 2)])
+                    key = (joined[max(s, a - 2) : a], joined[a:b], joined[b : min(e, b + 2)], *hints)
                     if key not in memo:
                         if len(memo) > 50_000:
                             memo.clear()
-                        memo[key] = _repair(model, *key, hints)
+                        own = list(hints)
+                        memo[key] = _repair(model, *key[:3], own), own
+                    new, hints = memo[key][0], list(memo[key][1])
                     out.append(joined[at:a])
-                    out.append(memo[key] if memo[key] is not None else joined[a:b])
-                    done |= memo[key] is not None
+                    out.append(new if new is not None else joined[a:b])
+                    done |= new is not None
                     at = b
                 new = "".join([*out, joined[at:e]])
-                stray = "�" in old or any("\x80" <= c <= "\x9f" and c != "\x85" for c in old)
+                stray = any(c == "�" or "\x80" <= c <= "\x9f" and c != "\x85" for a, b in runs for c in joined[max(a, s) : min(b, e)])
                 if done or stray:
                     rows.append(int(owner[line]))
                     line_no.append(int(number[line]))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lectern.llm import deliveries, p2_markup, p3_quality, p4_lookalike, p5_scans, p7_mix, p8_sentences
+from lectern.llm import deliveries, p1_garbled, p2_markup, p3_quality, p4_lookalike, p5_scans, p7_mix, p8_sentences
 
 
 def test_unreachable_sources_come_from_the_mix(spark, monkeypatch):
@@ -203,3 +203,22 @@ def test_addresses_labels_and_abbreviations(spark):
     for r in p8_sentences.units(df, content=True).orderBy("unit_no").collect():
         got.setdefault(r.doc_id, []).append(r.unit)
     assert list(dict(sorted(got.items())).values()) == list(texts.values())
+
+
+def test_central_european_and_turkish_text_is_restored(spark):
+    pl, tr = ["zażółć gęślą jaźń na łące", "mąż i żona śpią w łóżku", "więc będą też kąpać się w rzece"], ["güneşli bir gün için şarkı söylüyoruz", "çocuğun gözleri yeşil ve ışıl ışıl", "ağaçların gölgesinde bir şey"]
+    rows = [(i, x) for i, x in enumerate((pl + tr) * 60)]
+    rows += [(9001, pl[0].encode("cp1250").decode("latin_1")), (9002, tr[0].encode().decode("cp1254")), (9003, pl[2].encode("iso8859_2").decode("cp1252")), (9004, None), (9005, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.restored for r in p1_garbled.find(df, "text", ["doc_id"]).collect()}
+    assert got == {9001: pl[0], 9002: tr[0], 9003: pl[2]}
+
+
+def test_pair_tables_grow_with_the_distinct_pairs(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    texts = ["".join(map(chr, r.integers(0x4E00, 0x9F00, 400))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = p1_garbled.fit(df, 14)
+    assert model.bits > 14 and (np.exp(model.pairs[: 1 << model.bits]) > 0.5).mean() < 2 * p1_garbled.FILLED
