@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -30,19 +31,23 @@ def local_session(cores: int | str = "*", app: str = "lectern", **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session, else the context's checkpoint directory.
 
-    Only where the session names none (tests, single machine) a temporary folder
-    is made and used for the life of the session.
+    Only on a single machine (``local[...]``: tests) a temporary folder is made where the session names
+    none, and used for the life of the session; on a cluster that is an error, as executors would write
+    to their own disks.
     """
-    known = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    known = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
     if not known:
+        if not re.match(r"local(\[[^\]]*\])?$", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         known = getattr(shared_dir, "own", None)
         if known is None or not os.path.isdir(known[len("file://") :]):
             known = "file://" + tempfile.mkdtemp(prefix="lectern-")
             shared_dir.own = known
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    if held.isEmpty():
         context.setCheckpointDir(known)
     return known
 
@@ -53,17 +58,22 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
-    _written.append((df.sparkSession, path))
+    remember(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _written: list[tuple[SparkSession, str]] = []
 
 
+def remember(spark: SparkSession, path: str) -> None:
+    """Have :func:`forget` remove ``path``."""
+    _written.append((spark, path))
+
+
 @atexit.register
-def forget() -> None:
-    """Remove the tables that :func:`cut` wrote (also to be called between long jobs)."""
-    while _written:
+def forget(since: int = 0) -> None:
+    """Remove the tables that :func:`cut` wrote (also to be called between long jobs); with ``since`` (a former :func:`kept`) only those written later."""
+    while len(_written) > since:
         spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm
@@ -73,6 +83,11 @@ def forget() -> None:
             continue
 
 
+def kept() -> int:
+    """How many tables :func:`forget` would remove."""
+    return len(_written)
+
+
 def if_small(df: DataFrame, most: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows (counted), else as it is."""
     from pyspark.sql import functions as F
