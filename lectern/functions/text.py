@@ -74,14 +74,6 @@ def page_number(line: Column) -> Column:
     return F.when(good, read.try_cast("int"))
 
 
-def variation(values: Column) -> Column:
-    """Population standard deviation over mean of an array; null (not judged) below two values."""
-    n = F.size(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
-    var = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
-    return F.when((n >= 2) & (mean != 0), F.sqrt(var) / mean)
-
-
 def folded_words(text: Column) -> Column:
     """Lower-cased words with the long s folded and punctuation dropped."""
     clean = F.regexp_replace(F.translate(text, "ſ", "s"), rf"[^{LETTER}\p{{M}}\p{{Nd}}_{BLANK}]", " ")
@@ -135,12 +127,17 @@ def label_shaped(line: Column) -> Column:
     return (s != "") & (F.length(s) <= 24) & (F.size(F.split(s, f"[{BLANK}]+")) <= 4)
 
 
+# The shapes of a handle (bare, or a link that shows it) and of a relative time (a number and a unit).
+HANDLE = r"^(?:@[\w.]+|\[@?[\w.]+\]\(\S+\))$"
+TIME_UNITS = "smhdwy"
+
+
 def is_handle(line: Column) -> Column:
-    return strip(line).rlike(r"^(?:\[@?[\w.]+\]\(\S+\)|@[\w.]+)$")
+    return strip(line).rlike(HANDLE)
 
 
 def is_relative_time(line: Column) -> Column:
-    return strip(line).rlike(r"(?i)^\[?\s*[0-9]{1,3}\s*[smhdwy]\s*\]?(?:\(\S+\))?$")
+    return strip(line).rlike(rf"(?i)^\[?\s*[0-9]{{1,3}}\s*[{TIME_UNITS}]\s*\]?(?:\(\S+\))?$")
 
 
 def note_label(label: Column) -> Column:
@@ -162,10 +159,3 @@ def join_wrapped(lines: Column) -> Column:
     glued = F.array_join(trimmed, "\x1f")
     glued = F.regexp_replace(glued, rf"([{LETTER}][{LETTER}\p{{M}}\p{{Nd}}_'’]*-)\x1f", "$1")
     return F.regexp_replace(F.regexp_replace(glued, "\x1f", " "), "[ \t]+", " ")
-
-
-def percent(part: Column, whole: Column) -> Column:
-    """A share in percent with one decimal; never rounded to 100 while something is missing."""
-    share = 100.0 * part / whole
-    shown = F.when((part < whole) & (share >= 99.95), F.lit(99.9)).otherwise(F.round(share, 1))
-    return F.when(whole != 0, F.format_string("%.1f%%", shown))
