@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 
 LETTER = r"\p{L}\p{Nl}\p{No}"
 BLANK = r"\s\x0b\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANKS = " \t\n\r\f\x0b\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"  # the same, one by one
 WORD = rf"[{LETTER}]+(?:['’][{LETTER}]+)*"
 # Letters that digits are misread as, and the digits.
 LOOKALIKES, DIGITS = "lI|iOoDSsBZ", "11110005582"
@@ -33,7 +34,7 @@ def nfc(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without the blanks (of any kind) at both ends."""
-    return F.regexp_replace(text, f"^[{BLANK}]+|[{BLANK}]+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def words(text: Column, compose: bool = True) -> Column:

@@ -60,10 +60,13 @@ def wrapped(lines: DataFrame) -> DataFrame:
     """(doc_id, text_lines, p95, is_wrapped): hard-wrapped if the nearest-rank 95th percentile of
     the line lengths is at most 200; fewer than ten lines with text are never wrapped.
     """
-    full = lines.where(T.strip(F.coalesce("line", F.lit(""))) != "").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.length("line"))).alias("_l"))
-    n = F.size("_l")
-    p95 = F.element_at("_l", F.least((F.floor(n * 0.95) + 1).cast("int"), n))
-    return full.select("doc_id", n.alias("text_lines"), p95.alias("p95"), ((n >= 10) & (p95 <= 200)).alias("is_wrapped"))
+    full = lines.where(T.strip(F.coalesce("line", F.lit(""))) != "").groupBy("doc_id", F.length("line").alias("_l")).agg(F.count(F.lit(1)).alias("_c"))
+    # lengths are few: they are counted first, and the rank is found among the counts
+    upto = F.sum("_c").over(Window.partitionBy("doc_id").orderBy("_l"))
+    total = F.sum("_c").over(Window.partitionBy("doc_id"))
+    rank = F.least(F.floor(total * 0.95) + 1, total)
+    per = full.withColumns({"_u": upto, "_n": total, "_r": rank}).groupBy("doc_id").agg(F.max("_n").cast("int").alias("text_lines"), F.min(F.when(F.col("_u") >= F.col("_r"), F.col("_l"))).alias("p95"))
+    return per.select("doc_id", "text_lines", "p95", ((F.col("text_lines") >= 10) & (F.col("p95") <= 200)).alias("is_wrapped"))
 
 
 def usability(docs: DataFrame, key: str, text: str, pages: str | None = None, pages_with_text: str | None = None, producer: str | None = None) -> DataFrame:
