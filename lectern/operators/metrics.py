@@ -41,9 +41,17 @@ def invented(lines: DataFrame, rendered: DataFrame) -> DataFrame:
     return out.join(source, ["doc_id", "line"], "left_anti").select("doc_id", "variant", "line")
 
 
+def fidelity(lines: DataFrame, rendered: DataFrame) -> DataFrame:
+    """(doc_id, variant, output_lines, invented_lines): lines with text, and those of them that the source doesn't have."""
+    out = rendered.select("doc_id", "variant", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
+    source = lines.select("doc_id", F.regexp_replace(F.coalesce("line", F.lit("")), "[ \t]+$", "").alias("line")).distinct().withColumn("_own", F.lit(1))
+    both = out.join(source, ["doc_id", "line"], "left")
+    return both.groupBy("doc_id", "variant").agg(F.count(F.lit(1)).alias("output_lines"), F.sum(F.col("_own").isNull().cast("int")).alias("invented_lines"))
+
+
 def verdicts(measured: DataFrame, uncovered: DataFrame | None = None) -> DataFrame:
-    """(doc_id, variant, token_percent, verdict): RED if over a quarter of the words is lost or lines are
-    uncovered, AMBER over 8 percent, GREEN else; small documents are judged by cover alone.
+    """(doc_id, variant, token_percent, verdict): RED if a quarter of the words or more is lost, lines are
+    uncovered or there are no words at all, AMBER from 8 percent, GREEN else; small documents are judged by cover alone.
     """
     got = measured
     if uncovered is not None:
@@ -52,7 +60,7 @@ def verdicts(measured: DataFrame, uncovered: DataFrame | None = None) -> DataFra
         got = got.withColumn("_u", F.lit(None).cast("boolean"))
     loss = -F.coalesce("token_percent", F.lit(0.0))
     judged = F.col("base_tokens") >= SMALL
-    verdict = F.when(F.col("_u") | (judged & (loss > FAIL)), F.lit("RED")).when(judged & (loss > WARN), F.lit("AMBER")).otherwise(F.lit("GREEN"))
+    verdict = F.when(F.col("_u") | (F.col("base_tokens") == 0) | (judged & (loss >= FAIL)), F.lit("RED")).when(judged & (loss >= WARN), F.lit("AMBER")).otherwise(F.lit("GREEN"))
     return got.select("doc_id", "variant", "token_percent", verdict.alias("verdict"))
 
 
