@@ -45,9 +45,9 @@ def write(queue: DataFrame, path: str) -> None:
     at = F.array_join(F.transform("examples", lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["line_no"].cast("string"))), ", ")
     clean = lambda c: F.regexp_replace(F.col(c), r"[\t\n]", " ")
     rows = queue.orderBy("kind", "key").select(F.concat_ws("\t", "decision", "kind", clean("key"), F.concat(clean("why"), F.lit(" ("), at, F.lit(")"))).alias("value"))
+    rows.write.mode("overwrite").text(path)  # sorted ranges: the files' names are in order
     spark: SparkSession = queue.sparkSession
-    head = spark.createDataFrame([(HEADER.rstrip("\n"),)], "value string")
-    head.coalesce(1).unionAll(rows.coalesce(1)).coalesce(1).write.mode("overwrite").text(path)
+    spark.createDataFrame([(HEADER.rstrip("\n"),)], "value string").coalesce(1).write.mode("append").text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
