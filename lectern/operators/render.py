@@ -123,7 +123,7 @@ def _assembled(kept: DataFrame) -> DataFrame:
     return parts.unionByName(seps).select("doc_id", F.row_number().over(order).alias("line_no"), "line")
 
 
-def _tidy(text: Column, variant: Variant) -> Column:
+def tidy(text: Column, variant: Variant) -> Column:
     """Blank lines as the variant wants them; one line end at the end."""
     if variant.collapse_blank_lines:
         text = F.regexp_replace(text, "\n(?:[ \t]*\n){%d,}" % (variant.max_blank_lines + 1), "\n" * (variant.max_blank_lines + 1))
@@ -143,7 +143,7 @@ def _plain(lines: DataFrame, regions: DataFrame, variants: list[Variant], facts:
     # a line that opens a region has a blank one before it
     joined = F.transform("_l", lambda x, i: F.when((i > 0) & (x["region_idx"] != F.coalesce(F.try_element_at("_l", F.when(i > 0, i)), F.element_at("_l", 1))["region_idx"]), F.concat(F.lit("\n"), x["line"])).otherwise(x["line"]))
     parts = parts.select("doc_id", "variant", F.array_join(joined, "\n").alias("_t"))
-    body = F.coalesce(*[F.when(F.col("variant") == v.name, _tidy(F.col("_t"), v)) for v in variants])
+    body = F.coalesce(*[F.when(F.col("variant") == v.name, tidy(F.col("_t"), v)) for v in variants])
     return _every(lines, parts.select("doc_id", "variant", body.alias("text")), variants)
 
 
@@ -170,7 +170,7 @@ def render(lines: DataFrame, regions: DataFrame, variant: Variant, facts: Facts
         text = blocks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_line", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
     else:
         text = out.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    return _every(lines, text.select("doc_id", F.lit(variant.name).alias("variant"), _tidy(F.col("text"), variant).alias("text")), [variant])
+    return _every(lines, text.select("doc_id", F.lit(variant.name).alias("variant"), tidy(F.col("text"), variant).alias("text")), [variant])
 
 
 def resolve(names: list[str] | None = None) -> list[Variant]:

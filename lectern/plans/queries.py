@@ -113,8 +113,27 @@ def label_keys(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def roman_numerals(spark: SparkSession, d: str) -> DataFrame:
-    s = T.strip(F.col("line"))
-    return _lines(spark, d).where(s.rlike("(?i)(?:chapter|kapitel|cap[ií]tulo|chapitre) [ivxlc]+")).select("doc_id", "line_no", T.roman_value(F.regexp_extract(s, r"(?i)(?:chapter|kapitel|cap[ií]tulo|chapitre) ([ivxlc]+)", 1)).alias("value"))
+    """Every word in all lines that is written as a roman numeral, and its value."""
+    words = F.regexp_extract_all("line", F.lit(r"[\p{L}\p{M}\p{Nd}_]+"), F.lit(0))
+    got = _lines(spark, d).select("doc_id", "line_no", F.posexplode(words).alias("pos", "word")).where(F.col("word").rlike("^[IVXLCDM]+$"))
+    return got.withColumn("value", T.roman_value(F.col("word")))
+
+
+@query
+def newline_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Line ends and byte-order marks of the pages as they were sent."""
+    raw = _docs(spark, d).where("raw_bytes is not null").select("doc_id", F.hex("raw_bytes").alias("h"), F.octet_length("raw_bytes").alias("source_bytes"))
+    octets = F.regexp_replace("h", "(..)", "$1 ")
+    crlf = F.regexp_count(octets, F.lit("0D 0A "))
+    lf, cr = F.regexp_count(octets, F.lit("0A ")) - crlf, F.regexp_count(octets, F.lit("0D ")) - crlf
+    style = F.when((crlf >= lf) & (crlf >= cr), F.lit("CRLF")).when(lf >= cr, F.lit("LF")).otherwise(F.lit("CR"))
+    return raw.select("doc_id", "source_bytes", style.alias("newline"), F.col("h").rlike("^(?:EFBBBF|FFFE|FEFF)").alias("had_bom"))
+
+
+@query
+def folded_words(spark: SparkSession, d: str) -> DataFrame:
+    got = _lines(spark, d).select("doc_id", F.explode(T.folded_words(F.col("line"))).alias("word")).withColumn("word", F.translate("word", "ς", "σ"))
+    return got.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- furniture -----------------------------------------------------------------------
@@ -155,6 +174,25 @@ def edge_furniture(spark: SparkSession, d: str) -> DataFrame:
     return furniture.edges(_extractions(spark, d))
 
 
+@query
+def page_edges(spark: SparkSession, d: str) -> DataFrame:
+    return furniture.page_edges(_extractions(spark, d))
+
+
+@query
+def page_shape(spark: SparkSession, d: str) -> DataFrame:
+    return furniture.page_shape(_lines(spark, d))
+
+
+@query
+def document_furniture(spark: SparkSession, d: str) -> DataFrame:
+    """Furniture of extractions as an analysis finds it: edges where pages are stated, else inferred, catchwords included."""
+    x = _extractions(spark, d).where("kind in ('text', 'ocr')").groupBy(F.col("extr_id").alias("doc_id")).agg(F.max(F.struct("extracted_at", "text_lines", "page_starts")).alias("x")).select("doc_id", "x.text_lines", "x.page_starts")
+    lines = x.select("doc_id", F.posexplode("text_lines").alias("_p", "line")).select("doc_id", (F.col("_p") + 1).alias("line_no"), "line")
+    body = regions.segment(lines).where("label = 'body'").select("doc_id", F.explode(F.sequence("first_line", "last_line")).alias("line_no"))
+    return furniture.in_documents(lines, cut(body), x)
+
+
 @query
 def catchword_pages(spark: SparkSession, d: str) -> DataFrame:
     lines = _lines(spark, d)
@@ -163,15 +201,13 @@ def catchword_pages(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def prefix_heads(spark: SparkSession, d: str) -> DataFrame:
-    return furniture.prefix_heads(_lines(spark, d), gate=False)
+    return furniture.prefix_heads(_lines(spark, d))
 
 
 @query
 def head_chapters(spark: SparkSession, d: str) -> DataFrame:
     lines = _lines(spark, d)
-    keys = furniture.keyed(lines).where("key <> '#'").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("doc_id", "key")
-    heads = furniture.keyed(lines).join(keys, ["doc_id", "key"]).select("doc_id", F.col("key").alias("series"), "line_no")
-    return furniture.head_chapters(heads)
+    return furniture.head_chapters(furniture.prefix_heads(lines))
 
 
 # --- regions -------------------------------------------------------------------------
@@ -199,6 +235,24 @@ def front_back_lines(spark: SparkSession, d: str) -> DataFrame:
     return got.where("is_front or is_back or is_metadata")
 
 
+@query
+def notice_lines(spark: SparkSession, d: str) -> DataFrame:
+    f = regions.features(_lines(spark, d)).select("doc_id", "line_no", "start_mark", "end_mark", "credit", "credit_heading", "contents")
+    return f.where("start_mark or end_mark or credit or credit_heading or contents")
+
+
+@query
+def numeral_lines(spark: SparkSession, d: str) -> DataFrame:
+    return regions.features(_lines(spark, d)).where("numeral is not null").select("doc_id", "line_no", F.col("numeral").alias("value"))
+
+
+@query
+def split_headings(spark: SparkSession, d: str) -> DataFrame:
+    """A division word alone on its line, its number on the next."""
+    lines = _lines(spark, d)
+    return regions.features(lines).where("division").join(heading_lines(spark, d).select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti").select("doc_id", "line_no", "key")
+
+
 @query
 def region_candidates(spark: SparkSession, d: str) -> DataFrame:
     return regions.candidates(_lines(spark, d))
@@ -226,6 +280,23 @@ def coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
     return regions.gaps(lines, regions.segment(lines))
 
 
+@query
+def coverage(spark: SparkSession, d: str) -> DataFrame:
+    lines = _lines(spark, d)
+    return regions.coverage(lines, regions.segment(lines))
+
+
+@query
+def apparatus_lines(spark: SparkSession, d: str) -> DataFrame:
+    return regions.apparatus(regions.segment(_lines(spark, d)))
+
+
+@query
+def integration_table(spark: SparkSession, d: str) -> DataFrame:
+    lines, seg, out = _rendered(spark, d)
+    return regions.integration(lines, seg, render.stats(out))
+
+
 @query
 def region_label_totals(spark: SparkSession, d: str) -> DataFrame:
     lines = _lines(spark, d)
@@ -259,6 +330,16 @@ def wrapped_docs(spark: SparkSession, d: str) -> DataFrame:
     return L.wrapped(_lines(spark, d))
 
 
+@query
+def modal_layout(spark: SparkSession, d: str) -> DataFrame:
+    return verse.modal_layout(_lines(spark, d))
+
+
+@query
+def double_spaced(spark: SparkSession, d: str) -> DataFrame:
+    return verse.double_spaced(_lines(spark, d))
+
+
 @query
 def protected_spans(spark: SparkSession, d: str) -> DataFrame:
     return verse.protected_spans(_lines(spark, d))
@@ -287,6 +368,12 @@ def hyphen_decisions(spark: SparkSession, d: str) -> DataFrame:
     return hyphens.decisions(_lines(spark, d)).select("doc_id", "line_no", "joined", "hyphenated", "decision")
 
 
+@query
+def hyphen_decisions_extra(spark: SparkSession, d: str) -> DataFrame:
+    """With the table of common words as words attested elsewhere."""
+    return hyphens.decisions(_lines(spark, d), table(spark, d, "common_words").where("word is not null")).select("doc_id", "line_no", "hyphenated", "decision")
+
+
 @query
 def hyphen_joined_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = _lines(spark, d)
@@ -296,7 +383,7 @@ def hyphen_joined_lines(spark: SparkSession, d: str) -> DataFrame:
 @query
 def review_items(spark: SparkSession, d: str) -> DataFrame:
     lines = _lines(spark, d)
-    return review.items(hyphens.decisions(lines), notes.pairs(lines))
+    return review.items(hyphens.decisions(lines), notes.pairs(lines)).drop("examples")
 
 
 @query
@@ -307,13 +394,20 @@ def review_apply(spark: SparkSession, d: str) -> DataFrame:
     return review.apply(decided, hints).select("doc_id", "line_no", "hyphenated", "decision", "resolved")
 
 
+@query
+def review_outstanding(spark: SparkSession, d: str) -> DataFrame:
+    """Undecided breaks that the hints of the table of breaks don't answer either."""
+    answered = table(spark, d, "breaks").where("decision in ('join', 'keep')").select(F.lit("hyphen").alias("kind"), F.col("hyphenated").alias("key"), "decision")
+    return review.outstanding(review.items(hyphens.decisions(_lines(spark, d))), answered).select("kind", "key", "occurrences")
+
+
 # --- interface and notes -------------------------------------------------------------
 
 
 def _thread_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold threads; a handle line "@name · 3 h" is read as the handle alone."""
-    lines = L.explode_lines(_docs(spark, d))
-    return lines.withColumn("line", F.regexp_replace("line", r"^(@[\p{L}\p{Nd}_.]+) · \d+ [smhdwy]$", "$1"))
+    """The lines of crawled texts, threads among them; a line "@name · 3 h" is read as two, the handle and the time."""
+    docs = _docs(spark, d).select("doc_id", F.regexp_replace("text", r"(?m)^(@[\p{L}\p{Nd}_.]+) · (\d+ [smhdwy])$", "$1\n$2").alias("text"))
+    return L.explode_lines(docs)
 
 
 @query
@@ -396,6 +490,11 @@ def variant_drop_rows(spark: SparkSession, d: str) -> DataFrame:
     return render.dropped(regions.segment(_lines(spark, d)), render.resolve())
 
 
+@query
+def collapsed_text(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).where("text is not null").select("doc_id", render.tidy(F.col("text"), render.BUILTIN["full"]).alias("text"))
+
+
 @query
 def variant_repaired(spark: SparkSession, d: str) -> DataFrame:
     lines = cut(_lines(spark, d))
@@ -418,6 +517,22 @@ def invented_lines(spark: SparkSession, d: str) -> DataFrame:
     return metrics.invented(lines, out)
 
 
+@query
+def verbatim_fidelity(spark: SparkSession, d: str) -> DataFrame:
+    """The baseline holds every line with text, and no other."""
+    lines = cut(_lines(spark, d))
+    return metrics.fidelity(lines, render.render_all(lines, cut(regions.segment(lines)), ["verbatim"]))
+
+
+@query
+def variant_removals(spark: SparkSession, d: str) -> DataFrame:
+    lines = cut(_lines(spark, d))
+    seg = cut(regions.segment(lines))
+    facts = render.Facts(furniture=cut(furniture.find(lines)), interface=cut(interface.labels(lines)), notes=cut(notes.bodies(lines)), note_pairs=cut(notes.pairs(lines)))
+    choice = render.custom("repaired", ["front_matter", "body", "back_matter", "unknown"], drop_furniture=True, drop_interface=True, footnotes="remove")
+    return render.removals(lines, seg, [*render.resolve(), choice], facts)
+
+
 @query
 def stress_verdict(spark: SparkSession, d: str) -> DataFrame:
     lines, seg, out = _rendered(spark, d)
@@ -426,6 +541,15 @@ def stress_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def accuracy_prf(spark: SparkSession, d: str) -> DataFrame:
+    """Broken words found in extractions, held against the lines that an earlier detector noted."""
+    x = _extractions(spark, d).where("kind in ('text', 'ocr')")
+    lines = x.select(F.col("extr_id").alias("doc_id"), F.posexplode("text_lines").alias("_p", "line")).select("doc_id", (F.col("_p") + 1).alias("line_no"), F.coalesce("line", F.lit("")).alias("line")).dropDuplicates(["doc_id", "line_no"])
+    noted = table(spark, d, "breaks").join(x.select("extr_id").distinct(), "extr_id", "left_semi").select(F.col("extr_id").alias("doc_id"), "line_no")
+    return metrics.sets(noted, hyphens.breaks(lines), ["doc_id", "line_no"])
+
+
+@query
+def furniture_prf(spark: SparkSession, d: str) -> DataFrame:
     """Furniture by the page interval, held against that of stated page edges, over extractions."""
     x = _extractions(spark, d).where("kind in ('text', 'ocr')")
     lines = x.select(F.col("extr_id").alias("doc_id"), F.posexplode("text_lines").alias("_p", "line")).select("doc_id", (F.col("_p") + 1).alias("line_no"), "line").dropDuplicates(["doc_id", "line_no"])
