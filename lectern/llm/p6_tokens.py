@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_path
+from ..session import remember, shared_path
 from . import lexicon as lex
 from . import vocab
 
@@ -71,26 +71,43 @@ def build_lexicon(texts: DataFrame, words: int = LEXICON_WORDS, name: str = "byt
     return lex.build({w.encode(): encode(w) for w in top})
 
 
-def share(spark: SparkSession, blob: bytes) -> object:
-    """Put a bounded file where executors find it: the shared folder if it is a mounted one."""
+def share(spark: SparkSession, blob: bytes) -> str:
+    """Put a bounded file into the shared folder and have executors map it into memory: from there if it is
+    mounted, else from the copy that each of them fetches.  Returns how :func:`_mapped` finds it.
+    """
     path = shared_path(spark, "lexicon")
+    remember(spark, path)
     if path.startswith("file:"):
         import os
 
-        local = path[len("file:") :]
-        local = "/" + local.lstrip("/")
+        local = "/" + path[len("file:") :].lstrip("/")
         os.makedirs(os.path.dirname(local), exist_ok=True)
         with open(local, "wb") as f:
             f.write(blob)
         return local
-    return spark.sparkContext.broadcast(blob)
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    stream.write(bytearray(blob))
+    stream.close()
+    spark.sparkContext.addFile(path)
+    return "fetched:" + path.rsplit("/", 1)[-1]
+
+
+def _mapped(source: object) -> object:
+    """The path (or, for a lexicon given as bytes, the bytes) of what :func:`share` put out."""
+    if isinstance(source, str) and source.startswith("fetched:"):
+        from pyspark import SparkFiles
+
+        return SparkFiles.get(source[len("fetched:") :])
+    return source if isinstance(source, (str, bytes)) else source.value
 
 
 class Words:
     """Word -> ids for one worker: the mapped lexicon first, exact merging for the rest."""
 
     def __init__(self, source: object, name: str, folder: str | None):
-        self.lexicon = lex.Lexicon(source if isinstance(source, str) else source.value)
+        self.lexicon = lex.Lexicon(_mapped(source))
         self.name, self.folder, self.exact = name, folder, None
         self.slots: dict[str, int] = {}
         self.flat: list[int] = []
