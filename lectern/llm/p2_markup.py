@@ -1,6 +1,7 @@
 """Markup residue in text: which languages a file carries, and its clean, structured text.
 
-Method: a file is a tree: file, blocks of adjacent lines, lines, marks.  Each line and
+Method: a file is a tree: file, blocks of adjacent lines, elements that are opened on one line and
+closed on a later one (nested as the document's nodes are), lines, marks.  Each line, element and
 block is plain or of one markup language; parent and child are coupled by potentials,
 marks are emitted by the language of their line.  Sum-product messages go up to the file
 and down again and yield each line's marginals.  All potentials are counts over labelled
@@ -102,6 +103,33 @@ def marks_of(line: str) -> list[int]:
     return [k for k, p in enumerate(_COMPILED) if p.search(line)]
 
 
+# Elements that are never closed.
+_VOID = {"area", "br", "hr", "img", "input", "link", "meta", "param", "source", "wbr"}
+_TAG = re.compile(rf"(?i)<(/?)({_T})(?:\s[^<>]*)?(/?)>")
+
+
+def elements(lines: list[str]) -> list[tuple[int, int]]:
+    """(first, last) positions of the elements that are opened on one line and closed on a later one; they nest."""
+    out: list[tuple[int, int]] = []
+    open_: list[tuple[str, int]] = []
+    for i, line in enumerate(lines):
+        if "<" not in line:
+            continue
+        for m in _TAG.finditer(line):
+            tag = m.group(2).lower()
+            if tag in _VOID or m.group(3):
+                continue
+            if not m.group(1):
+                open_.append((tag, i))
+                continue
+            k = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == tag), None)
+            if k is not None:
+                if open_[k][1] < i:
+                    out.append((open_[k][1], i))
+                del open_[k:]  # what was opened inside and not closed ends with it
+    return sorted(set(out), key=lambda x: (x[0], -x[1]))
+
+
 # --- labelled pages -----------------------------------------------------------------
 
 
@@ -140,8 +168,9 @@ class _Pages:
     def html(self) -> list[str]:
         w, t, r, n = self.word, self.text, self.r, self.r.randint(1, 90)
         one = [f"<h2>{w()}</h2>"], [f'<p class="{w()}">{t()}', f"<b>{t()}</b></p>"], ["<ul>", f"  <li>{t()}</li>", f"  <li>{t()}</li>", "</ul>"], ["<div", f'   style="margin:{n}">{t()}</div>']
+        nest = ["<div>", f"<p>{t()}</p>", "<ul>", f"<li>{t()}", f"{t()}</li>", "</ul>", t(), "</div>"], ["<blockquote>", t(), t(), "</blockquote>"]
         two = [f"<table><tr><th>{w()}</th><td>{n}</td></tr></table>"], [f"<!-- {w()} -->"], [f'{t()} <a href="/{w()}">{w()}</a> {t()}'], [f"{t()}&nbsp;{t()}"], [f"{w()}<br/> {t()}"], [f"{t()} <SPAN class=x>{w()}</SPAN>"]
-        return r.choice([*one, *two, ["<pre><code>", "</code></pre>"], [f"{t()} &mdash; &#8212; {t()}"], [f"<P>{t()}"], [f'<img src="{w()}.png" alt="{w()}">']])
+        return r.choice([*one, *two, *nest, ["<pre><code>", "</code></pre>"], [f"{t()} &mdash; &#8212; {t()}"], [f"<P>{t()}"], [f'<img src="{w()}.png" alt="{w()}">']])
 
     def markdown(self) -> list[str]:
         w, t, r, n = self.word, self.text, self.r, self.r.randint(1, 90)
@@ -198,7 +227,8 @@ class Potentials:
         emit, seen = np.full((2, k, len(NAMES)), 0.02), np.full((2, k), 0.5)  # sound and damaged lines
         block_given = np.full((k, k), 0.3)  # main language of the file (plain: at most one block isn't) -> block
         root = np.full(k, 1.0)
-        line_given = np.full((k, k), 0.05)  # block -> line
+        line_given = np.full((k, k), 0.05)  # block or element -> line
+        node_given = np.full((k, k), 0.05)  # block or element -> element
         for blocks in labelled:
             used = [lang for lang, _ in blocks if lang != "plain"]
             rich = SYNTAX.index(max(used, key=used.count)) if len(used) > 1 else 0
@@ -206,6 +236,7 @@ class Potentials:
             for lang, lines in blocks:
                 s = SYNTAX.index(lang)
                 block_given[rich, s] += 1
+                node_given[s, s] += len(elements(lines))
                 for line in lines:
                     found, hurt = marks_of(line), int(DAMAGED.search(line) is not None)
                     own = s if found or lang == "plain" else 0
@@ -215,6 +246,7 @@ class Potentials:
         self.root = np.log(root / root.sum())
         self.block = np.log(block_given / block_given.sum(1, keepdims=True))
         self.line = np.log(line_given / line_given.sum(1, keepdims=True))
+        self.node = np.log(node_given / node_given.sum(1, keepdims=True))
         rate = emit / (seen[..., None] + 0.04)
         self.present, self.absent = np.log(rate), np.log1p(-np.minimum(rate, 0.99))
         self.bare = self.absent.sum(2)
@@ -235,23 +267,49 @@ class Potentials:
             self.memo[key] = e, np.logaddexp.reduce(self.line[None, :, :] + e[:, None, :], axis=2)
         return self.memo[key]
 
-    def marginals(self, blocks: list[list[list[int]]]) -> list[np.ndarray]:
-        """For each block (lines as lists of marks): lines x languages, by messages up and down the tree."""
+    def _rise(self, node: list[int] | tuple) -> tuple[np.ndarray, np.ndarray, list]:
+        """What a line (its marks) or an element (its children) tells: its own states, its parent's, and the same of its children."""
+        add = np.logaddexp.reduce
+        if isinstance(node, list):
+            own, below, down = self.emission(node), [], self.line
+        else:
+            below = [self._rise(c) for c in node]
+            own, down = sum((b[1] for b in below), np.zeros(len(SYNTAX))), self.node
+        return own, add(down + own[None, :], axis=1), below
+
+    def _fall(self, node: list[int] | tuple, told: tuple[np.ndarray, np.ndarray, list], above: np.ndarray) -> list[np.ndarray]:
+        """Marginals of the lines below a node; ``above``: what the rest of the tree tells of its parent's states."""
+        add = np.logaddexp.reduce
+        own, _, below = told
+        if isinstance(node, list):
+            m = add(above[:, None] + self.line, axis=0) + own
+            return [np.exp(m - add(m))]
+        whole = add(above[:, None] + self.node, axis=0) + own
+        return [x for c, t in zip(node, below) for x in self._fall(c, t, whole - t[1])]
+
+    def marginals(self, blocks: list[list[list[int] | tuple]]) -> list[np.ndarray]:
+        """For each block (lines as lists of marks, elements as tuples of what they hold): lines x languages, by messages up and down the tree."""
         add = np.logaddexp.reduce
         ups, beliefs = [], []
-        for lines in blocks:
-            e, to_block = self._messages(lines)
-            beliefs.append((e, to_block))
-            ups.append(to_block.sum(0))
+        for nodes in blocks:
+            if any(isinstance(x, tuple) for x in nodes):
+                told = [self._rise(x) for x in nodes]
+                to_block = np.array([t[1] for t in told])
+                beliefs.append((told, to_block))
+            else:
+                beliefs.append(self._messages(nodes))
+            ups.append(beliefs[-1][1].sum(0))
         to_root = [add(self.block + up[None, :], axis=1) for up in ups]
         root = self.root + sum(to_root)
         out = []
-        for (e, to_block), up, mine in zip(beliefs, ups, to_root):
+        for nodes, (e, to_block), up, mine in zip(blocks, beliefs, ups, to_root):
             down = add((root - mine)[:, None] + self.block, axis=0)  # file to block, without the block's own word
-            whole = down + up
-            rest = whole[None, :] - to_block  # block without each line's own word
-            m = add(rest[:, :, None] + self.line[None, :, :], axis=1) + e
-            out.append(np.exp(m - add(m, axis=1)[:, None]))
+            rest = (down + up)[None, :] - to_block  # block without each child's own word
+            if isinstance(e, list):
+                out.append(np.array([m for x, t, r in zip(nodes, e, rest) for m in self._fall(x, t, r)]))
+            else:
+                m = add(rest[:, :, None] + self.line[None, :, :], axis=1) + e
+                out.append(np.exp(m - add(m, axis=1)[:, None]))
         return out
 
 
@@ -286,20 +344,39 @@ def _observed(line: str) -> list[int]:
     return [] if line == PLAIN else marks_of(line) + [HURT] * (DAMAGED.search(line) is not None)
 
 
+def _nodes(at: list[int], spans: list[tuple[int, int]], marks: dict[int, list[int]]) -> list[list[int] | tuple]:
+    """Lines ``at`` as nodes, those within one of the nested ``spans`` as its children."""
+    out: list[list[int] | tuple] = []
+    k = 0
+    while k < len(at):
+        span = next((x for x in spans if x[0] == at[k]), None)
+        if span is None:
+            out.append(marks[at[k]])
+            k += 1
+            continue
+        inside = [i for i in at[k:] if i <= span[1]]
+        out.append(tuple(_nodes(inside, [x for x in spans if x != span and x[0] >= span[0] and x[1] <= span[1]], marks)))
+        k += len(inside)
+    return out
+
+
 def label(lines: list[tuple[int, str]], model: Potentials) -> list[tuple[str, float, bool]]:
     """(language, marginal, in code) of each of the sorted lines of one file."""
     inside = code_lines(lines)
+    spans = elements(["" if i in inside else text for i, (_, text) in enumerate(lines)])
+    holds = {i for a, z in spans for i in range(a + 1, z + 1)}  # lines an element holds together with the one before
     blocks: list[list[int]] = []
     last = None
     for i, (no, text) in enumerate(lines):
         if i in inside or not text.strip():
-            last = no if i in inside else None
+            last = no if i in inside or i in holds else None
             continue
-        if last is None or no != last + 1 or not blocks:
+        if i not in holds and (last is None or no != last + 1) or not blocks:
             blocks.append([])
         blocks[-1].append(i)
         last = no
-    found = model.marginals([[_observed(lines[i][1]) for i in b] for b in blocks])
+    marks = {i: _observed(lines[i][1]) for b in blocks for i in b}
+    found = model.marginals([_nodes(b, [x for x in spans if b[0] <= x[0] <= b[-1]], marks) for b in blocks])
     out: list[tuple[str, float, bool]] = [("plain", 1.0, False)] * len(lines)
     for b, m in zip(blocks, found):
         for i, row in zip(b, m):

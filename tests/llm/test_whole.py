@@ -222,3 +222,29 @@ def test_pair_tables_grow_with_the_distinct_pairs(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     model = p1_garbled.fit(df, 14)
     assert model.bits > 14 and (np.exp(model.pairs[: 1 << model.bits]) > 0.5).mean() < 2 * p1_garbled.FILLED
+
+
+def test_marginals_of_nested_elements_equal_enumeration():
+    import itertools
+
+    import numpy as np
+
+    m = p2_markup.Potentials(p2_markup.pages(60))
+    blocks = [[[0], ([1], ([2],))]]  # a line, and an element that holds a line and an element
+    got = np.concatenate(m.marginals(blocks))
+    k = len(p2_markup.SYNTAX)
+    total, seen = np.zeros((3, k)), [m.emission([i]) for i in range(3)]
+    for root in range(k):
+        for b, e1, e2 in itertools.product(range(k), repeat=3):
+            for ls in itertools.product(range(k), repeat=3):
+                w = m.root[root] + m.block[root, b] + m.node[b, e1] + m.node[e1, e2]
+                w += sum(m.line[p, s] + seen[i][s] for i, (p, s) in enumerate(zip((b, e1, e2), ls)))
+                for i, s in enumerate(ls):
+                    total[i, s] += np.exp(w)
+    assert np.allclose(got, total / total.sum(1, keepdims=True))
+
+
+def test_elements_nest():
+    assert p2_markup.elements(["<div>", "<ul>", "<li>a</li>", "<li>b<br>", "</ul>", "</div>", "</p>", "<p>"]) == [(0, 5), (1, 4)]
+    text = [(1, "<blockquote>"), (2, ""), (3, "words that stand alone"), (5, "</blockquote>")]
+    assert [x[0] for x in p2_markup.label(text, p2_markup.potentials())] == ["html", "plain", "plain", "html"]
