@@ -45,7 +45,7 @@ def features(lines: DataFrame) -> DataFrame:
     return base.select(
         "doc_id", "line_no", "s", "blank", "block_id",
         (H.is_division(s) | two).alias("division"), F.when(two, F.lower(F.concat_ws(" ", F.regexp_replace(s, r"[.:\s]+$", ""), F.regexp_replace(number, r"[.:\s]+$", "")))).otherwise(H.division_key(s)).alias("key"),
-        H.is_section(s).alias("section"), F.nullif(T.strip(F.regexp_extract(F.col("line"), H.PAGE_HEADING, 0)), F.lit("")).alias("page_heading"), F.when(H.is_numeral(s), T.numeral_value(s)).alias("numeral"), H.is_front(s).alias("front"), H.is_back(s).alias("back"),
+        H.is_section(s).alias("section"), F.when(F.length("line") > H.MAX_HEADING, F.nullif(T.strip(F.regexp_extract(F.col("line"), H.PAGE_HEADING, 0)), F.lit(""))).alias("page_heading"), F.when(H.is_numeral(s), T.numeral_value(s)).alias("numeral"), H.is_front(s).alias("front"), H.is_back(s).alias("back"),
         H.is_metadata(s).alias("metadata"), s.rlike(H.CONTENTS).alias("contents"), s.rlike(H.START_MARK).alias("start_mark"), s.rlike(H.END_MARK).alias("end_mark"),
         s.rlike(H.CREDIT).alias("credit"), s.rlike(H.CREDIT_HEADING).alias("credit_heading"),
     )
