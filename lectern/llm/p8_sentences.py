@@ -66,8 +66,8 @@ MASK_DOT = "\\.(?:" + "|".join(
         r"(?<=(?:[ดศ]ร|ผศ|รศ|พ|ค|น)\.)(?=[\u0e00-\u0e7f])",
     ]
 ) + ")"
-#: marks inside addresses: what follows the mark is part of the address as well
-MASK_URL = r"[.?!;](?<=\b(?:https?://|www\.)[^\s<>\"“”«»]{0,300}.)(?=[^\s<>\"“”«».,;:!?)]|[.,;:!?)]+[^\s<>\"“”«».,;:!?)])"
+#: an address, without the marks that end the sentence it stands in
+URL = r"(?:https?://|www\.)[^\s<>\"“”«»]*[^\s<>\"“”«».,;:!?)]"
 #: marks inside speech whose speaker follows (the mark and the closing quote are matched first)
 MASK_SPEECH = f"[{_ANY},](?=[{_ANY}]*[ \\u00a0\\u202f]?[”“»\"’」』](?:" + "|".join(
     [
@@ -98,7 +98,9 @@ ENDS = (
 
 def masked(text: Column) -> Column:
     """``text`` with every mark that ends nothing masked, one character for one."""
-    urls = F.when(text.rlike(r"://|www\\."), F.regexp_replace(text, MASK_URL, DOT)).otherwise(text)
+    addresses = F.array_distinct(F.regexp_extract_all(text, F.lit(URL), F.lit(0)))
+    hidden = F.aggregate(addresses, text, lambda t, u: F.replace(t, u, F.translate(u, ".?!;", DOT * 4)))
+    urls = F.when(F.contains(text, F.lit("://")) | F.contains(text, F.lit("www.")), hidden).otherwise(text)
     out = F.regexp_replace(urls, MASK_DOT, DOT)
     out = F.regexp_replace(out, MASK_SPEECH, SPEECH)
     # a menu line's blanks, which in scripts that end sentences by blanks would part its items
