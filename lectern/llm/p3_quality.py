@@ -39,6 +39,18 @@ CLOSERS = "”“»\"')’」』）"
 UNSPACED = r"[฀-๿぀-ヿ㐀-鿿]"  # scripts written without blanks
 PUNCT = r"[!-&*+/:;<=>?@\\^_`|~.,]"
 
+# between words; and what lines are searched for
+BETWEEN = r"[^\p{L}\p{M}\p{N}'’-]+"
+PATTERNS = {
+    "ended": f"[{ENDS}][{CLOSERS}\\]\\s]*$",
+    "inner": f"[\\p{{L}}\\p{{M}}]{{2}}[{ENDS}][{CLOSERS}]*(?:\\s+[“«„¿¡(\"‘—]*[\\p{{Lu}}\\p{{Lo}}]|$)|[。！？]",
+    "marked": "^(?:[•*+·▪◦–-]|[0-9]{1,3}[.)])\\s+\\S",
+    "url": "^(?:https?://|www\\.)\\S+$",
+    "foreign": r"[\x{0080}-\x{00ff}\x{0152}-\x{0192}\x{02c6}-\x{02dc}\x{2013}-\x{2122}\x{2500}-\x{25a0}\x{fffd}]",
+    "mixed": "[a-z0-9+/][A-Z].*[a-z0-9+/][A-Z0-9].*[A-Z0-9a-z][A-Z0-9]",
+    "noise": PUNCT + "{2}|" + PUNCT + "[\\p{L}\\p{N}]",
+}
+
 #: per line; summed over a file's lines
 LINE_STATS = ("lines", "text", "chars", "blanks", "words", "word_chars", "common", "single", "distinct", "digits", "ended", "inner", "semis", "commas", "gaps", "marked", "url", "unspaced", "foreign", "mixed", "noise", "brief", "columned", "numeric", "comma_lines")
 
@@ -53,7 +65,7 @@ def _line_stats(line: pa.Array, spaced: pa.Array, packed: str) -> dict[str, np.n
     n = len(t)
     count = lambda pattern: pc.count_substring_regex(t, pattern).to_numpy()
     holds = lambda pattern: pc.match_substring_regex(t, pattern).to_numpy(zero_copy_only=False).astype(np.int64)
-    words = pc.split_pattern_regex(pc.utf8_lower(t), r"[^\p{L}\p{M}\p{N}'’-]+")
+    words = pc.split_pattern_regex(pc.utf8_lower(t), BETWEEN)
     flat, of = pc.utf8_trim(words.flatten(), characters="'’-"), pc.list_parent_indices(words).to_numpy()
     size = pc.utf8_length(flat).to_numpy()
     flat, of, size = flat.filter(pa.array(size > 0)), of[size > 0], size[size > 0]
@@ -70,15 +82,15 @@ def _line_stats(line: pa.Array, spaced: pa.Array, packed: str) -> dict[str, np.n
         out["common"][dense] += pc.count_substring_regex(t.take(pa.array(dense)), packed).to_numpy()
     out["distinct"] = total(np.unique(of * (int(code.max()) + 1) + code) // (int(code.max()) + 1)) if len(code) else np.zeros(n, np.int64)
     out["digits"], out["semis"], out["commas"], out["gaps"] = count("[0-9]"), count("[;|\t]"), count(","), count(" {2,}")
-    out["ended"] = holds(f"[{ENDS}][{CLOSERS}\\]\\s]*$")
-    out["inner"] = count(f"[\\p{{L}}\\p{{M}}]{{2}}[{ENDS}][{CLOSERS}]*(?:\\s+[“«„¿¡(\"‘—]*[\\p{{Lu}}\\p{{Lo}}]|$)|[。！？]")
-    out["marked"] = holds("^(?:[•*+·▪◦–-]|[0-9]{1,3}[.)])\\s+\\S")
-    out["url"] = holds("^(?:https?://|www\\.)\\S+$")
-    out["foreign"] = count("[\u0080-\u00ff\u0152-\u0192\u02c6-\u02dc\u2013-\u2122\u2500-\u25a0\ufffd]")
+    out["ended"] = holds(PATTERNS["ended"])
+    out["inner"] = count(PATTERNS["inner"])
+    out["marked"] = holds(PATTERNS["marked"])
+    out["url"] = holds(PATTERNS["url"])
+    out["foreign"] = count(PATTERNS["foreign"])
     parts = pc.split_pattern(t, " ")
-    mixed = pc.match_substring_regex(parts.flatten(), "[a-z0-9+/][A-Z].*[a-z0-9+/][A-Z0-9].*[A-Z0-9a-z][A-Z0-9]").to_numpy(zero_copy_only=False)
+    mixed = pc.match_substring_regex(parts.flatten(), PATTERNS["mixed"]).to_numpy(zero_copy_only=False)
     out["mixed"] = total(pc.list_parent_indices(parts).to_numpy()[mixed])
-    out["noise"] = count(PUNCT + "{2}|" + PUNCT + "[\\p{L}\\p{N}]")
+    out["noise"] = count(PATTERNS["noise"])
     out["brief"] = (out["words"] <= 3) * out["text"]
     out["columned"] = (out["semis"] + out["gaps"] >= 2).astype(np.int64)
     out["numeric"] = (out["digits"] * 2 > out["word_chars"]).astype(np.int64)

@@ -55,6 +55,10 @@ def p3_stats(spark: SparkSession, d: str) -> DataFrame:
     return p3_quality.shapes(_lines(spark, d), _common(spark, d))
 
 
+def p3_counts(spark: SparkSession, d: str) -> DataFrame:
+    return p3_quality.file_sums(_lines(spark, d), _common(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_lookalike.pairs(_lines(spark, d))
 
@@ -67,6 +71,10 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return p4_lookalike.canonical(_lines(spark, d), "line", ["file_id", "line_no"]).select("file_id", "line_no", "canonical").distinct()
 
 
+def p5_lexicon(spark: SparkSession, d: str) -> DataFrame:
+    return p5_scans.corpus_lexicon(table(spark, d, "extractions"), table(spark, d, "doc_lines"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_scans.found(table(spark, d, "extractions"), table(spark, d, "doc_lines"))[0]
 
@@ -127,10 +135,12 @@ def queries() -> dict[str, Query]:
         "p2_clean": p2_clean,
         "p3_found": p3_found,
         "p3_stats": p3_stats,
+        "p3_counts": p3_counts,
         "p4_found": p4_found,
         "p4_classes": p4_classes,
         "p4_forms": p4_forms,
         "p5_found": p5_found,
+        "p5_lexicon": p5_lexicon,
         "p5_repairs": p5_repairs,
         "p5_paragraphs": p5_paragraphs,
         "p6_ids": p6_ids,
@@ -143,4 +153,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracles import oracle_sql as known
+
+    return known()
