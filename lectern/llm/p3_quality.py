@@ -282,15 +282,15 @@ class _Maker:
         """Items of one make, each on its line with or without a mark; or runs of items parted by one separator."""
         self.pooled(lang)
         r, n, w = self.r, self.r.randint(4, 50), self.item
-        if r.random() < 0.15:
+        if r.random() < 0.2:
             sep, k = r.choice(["; ", ", ", " · ", " / "]), r.randint(3, 9)
             return [sep.join(w() for _ in range(k if r.random() < 0.5 else r.randint(3, 10))) for _ in range(n)]
         mark = r.choice([lambda i: "", lambda i: "", lambda i: "", lambda i: f"{i + 1}. ", lambda i: f"{i + 1}) ", *(lambda i, m=m: m + " " for m in "•-*–+·")])
         site = lambda: f"{r.choice(['https://', 'http://', 'https://www.'])}{self.word('en')}.example/{self.word('en')}" + (f"/{r.randint(1, 99)}" if r.random() < 0.5 else "")
+        entry = lambda: f"{w().title()}, {r.randint(1, 400)}" + "".join(f", {a}–{a + r.randint(1, 90)}" for a in [r.randint(1, 400) for _ in range(r.randint(0, 2))])
         body = r.choice([
-            w, w, lambda: w().title(), lambda: f"{w()} {w()}", lambda: f"{w().title()} {w()}", lambda: f"{w()} {w()} {w()}", lambda: f"{w().title()}, {w().title()}", lambda: f"{w().title()}, {w().title()}", lambda: f"{w()} ({w()})",
+            entry, entry, w, w, lambda: w().title(), lambda: f"{w()} {w()}", lambda: f"{w().title()} {w()}", lambda: f"{w()} {w()} {w()}", lambda: f"{w().title()}, {w().title()}", lambda: f"{w().title()}, {w().title()}", lambda: f"{w()} ({w()})",
             lambda: f"{r.randint(1, 12)} x {w()} ({w()})", lambda: f"{r.randint(1, 900)} {r.choice(['g', 'kg', 'ml', 'cups', 'x'])} {w()}", lambda: f"{w()}: {w()}", site,
-            lambda: f"{w().title()}, {r.randint(1, 400)}" + "".join(f", {a}–{a + r.randint(1, 9)}" for a in [r.randint(1, 400) for _ in range(r.randint(0, 2))]),
         ])
         return [mark(i) + body() for i in range(n)]
 
@@ -363,13 +363,15 @@ def _holds(rule: list[Condition], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _grow(pos: np.ndarray, neg: np.ndarray) -> list[Condition]:
-    """Add the condition of most information gain until no negative is left (or six are there)."""
+def _grow(pos: np.ndarray, neg: np.ndarray, first: int | None = None) -> list[Condition]:
+    """Add the condition of most information gain until no negative is left (or six are there); ``first``: the feature to begin with."""
     rule: list[Condition] = []
     while len(pos) and len(neg) and len(rule) < 6:
         base = np.log2(len(pos) / (len(pos) + len(neg)))
         best: tuple[float, Condition] | None = None
         for k, f in enumerate(FEATURES):
+            if first is not None and not rule and k != first:
+                continue
             values = np.unique(np.concatenate([pos[:, k], neg[:, k]]))
             if len(values) < 2:
                 continue
@@ -408,10 +410,13 @@ def induce(labels: list[str], x: np.ndarray, seed: int = SEED) -> list[tuple[str
         while True:
             pos, neg = x[labels == shape], x[labels != shape]
             best: tuple[int, list[Condition]] | None = None
-            for _ in range(TRIES if len(pos) >= 3 else 0):  # splits into growing and pruning documents
+            # splits into growing and pruning documents; where none gives a rule, one that begins with each feature
+            for first in (*[None] * TRIES, *range(len(FEATURES))) if len(pos) >= 3 else ():
+                if first is not None and best is not None:
+                    break
                 p, q = rng.permutation(pos), rng.permutation(neg)
                 a, b = max(1, 2 * len(p) // 3), 2 * len(q) // 3
-                rule = _grow(p[:a], q[:b])
+                rule = _grow(p[:a], q[:b], first)
                 if not rule:
                     continue
                 rule = _prune(rule, p[a:], q[b:])
