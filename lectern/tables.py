@@ -1,27 +1,9 @@
-"""Loading of the input tables, with repeated deliveries removed where asked."""
+"""Loading of the input tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def latest(df: DataFrame, keys: list[str], stamp: str) -> DataFrame:
-    """One row per key: the one delivered last (ties: any of the equal stamps, by value order).
-
-    Uses an aggregate with map-side combine instead of a window, so that a key that
-    was delivered very often costs no large task.  Null keys form one group.
-    """
-    rest = [c for c in df.columns if c not in keys and c != stamp]
-    packed = F.max(F.struct(F.col(stamp), *[F.col(c) for c in rest])).alias("_last")
-    got = df.groupBy(*keys).agg(packed)
-    return got.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in [stamp, *rest]])
-
-
-def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file_id, line_no, line) of doc_lines, one row per line."""
-    return table(spark, sf_dir, "doc_lines").select("file_id", "line_no", "line").dropDuplicates(["file_id", "line_no"])
