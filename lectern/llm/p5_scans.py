@@ -6,9 +6,9 @@ of the neighbouring word pairs, pick the repair in each place or keep the word a
 heads, page numbers and broken words are found in the order of each document's lines.
 
 Extractions of kind text and ocr are scans as such.  A file of doc_lines is one if it has page
-furniture or at least two lines that end in a broken word or hold a misread one: what may be
-such a line (an end with a hyphen, a number of its own, an odd word, a word the index has a repair
-for) is looked for in all files, and the files with two are brought together, one to a task.
+furniture or at least two lines that end in a broken word or hold a misread one: all files are
+brought together and laid out, and only what was found in them decides.  Pairs of words are
+counted in all of them.
 
 Defined results: null and blank lines are never cases; repeated deliveries count once (the last
 extraction, the greatest line), in the lexicon too; words of scripts without blanks (Han, kana,
@@ -75,6 +75,7 @@ _FRONT = re.compile(r"^\s*([0-9IlOoSBZ|!]{1,5})(?:\s{2,}|\t)(\S.{2,})$")
 _BACK = re.compile(r"^\s*(\S.*?\S)(?:\s{2,}|\t)([0-9IlOoSBZ|!]{1,5})\s*$")
 _APART = re.compile(r"[\W\d_]+").sub
 _CLOSED = re.compile(r"[.!?…,;:]\W*$")
+_ENDED = re.compile(r"[.!?…:;。！？।؟۔]\W*$")
 _READ = frozenset("0123456789IilOoSsBbZz|!")  # digits, and what is read for them
 _DIVIDED = re.compile(rf"(?i)^\W*(?:{DIVISION})\W+\w{{1,8}}\W*$")
 
@@ -112,6 +113,9 @@ def _alike(a: str, b: str, least: float = SIMILAR) -> bool:
         return False
     if a == b:
         return True
+    x, y = set(a), set(b)
+    if 2 * min(len(a) - len(x - y), len(b) - len(y - x)) < least * (len(a) + len(b)) - 1e-9:
+        return False  # characters that only one has match nothing
     x, y = _pairs(a), _pairs(b)
     if len(x & y) < 0.45 * min(len(x), len(y)):
         return False  # so few common pairs of characters that the exact measure can't reach ``least``
@@ -173,11 +177,27 @@ def _pages(numbers: dict[str, list[tuple[int, int]]], dress: dict[int, tuple]) -
 
 def furniture(lines: list[str], starts: list[int] | None) -> dict[int, str]:
     """0-based position -> 'running_head' or 'page_number'."""
+    return _furniture(lines, starts)[0]
+
+
+def _goes_on(before: str, after: str) -> bool:
+    """Running text goes on from the one line to the other."""
+    return after.lstrip()[:1].islower() and re.search(r"[^\W\d_][,–—-]?\s*$", before) is not None and _reads(before) and _reads(after)
+
+
+def _furniture(lines: list[str], starts: list[int] | None) -> tuple[dict[int, str], bool]:
+    """:func:`furniture`, and whether it speaks for a scan by itself.
+
+    The title again at even distances, without any number, may also be a refrain, a heading or a row of a list: it does
+    if text goes on across half of these lines, or if all are much the same and narrower than the text, and not all stand
+    between blank lines where a sentence has ended, as headings do.
+    """
+    told = True
     text = [x or "" for x in lines]
     bare = [x.strip() for x in text]
     full = [i for i, x in enumerate(bare) if x]
     if len(full) < 6 and not starts:
-        return {}
+        return {}, told
     edge: set[int] = set()
     starts = sorted({s for s in starts or [] if 0 <= s < len(text)})
     for s in starts:
@@ -234,16 +254,24 @@ def furniture(lines: list[str], starts: list[int] | None) -> dict[int, str]:
         near.update(full[max(0, k - 3) : k + 4])
     title = _key(text[full[0]])
     wide = sorted(len(bare[i]) for i in full)[int(0.8 * len(full))]
-    short = [i for i in full[1:] if i not in out and len(bare[i]) <= 60 and (bare[i][-1].isalnum() or not _CLOSED.search(text[i].rstrip("”’\"'"))) and len(_key(text[i])) >= 3]
     least, most = SIMILAR / (2 - SIMILAR) * len(title), (2 - SIMILAR) / SIMILAR * len(title)
-    like_title = [i for i in short if least <= len(_key(text[i])) <= most and _alike(_key(text[i]), title)]
+
+    def brief_lines() -> Iterator[tuple[int, str]]:
+        """(position, key) of short lines that are no furniture yet."""
+        for i in full[1:]:
+            s = bare[i]
+            if len(s) <= 60 and i not in out and (s[-1].isalnum() or not _CLOSED.search(text[i].rstrip("”’\"'"))) and len(key := _key(text[i])) >= 3:
+                yield i, key
+
     if marks or edge:
+        short = dict(brief_lines())
+        like_title = [i for i, key in short.items() if least <= len(key) <= most and _alike(key, title)]
         groups: list[list[int]] = []
         keys = {_key(text[i]) for i in out if out[i] == "running_head"}
-        narrow = [i for i in short if i in near and (len(text[i].strip()) <= 0.75 * wide or _DIVIDED.match(text[i])) and any(c.isalpha() for c in text[i])]
+        narrow = [i for i in short if i in near and (len(bare[i]) <= 0.75 * wide or _DIVIDED.match(text[i])) and any(c.isalpha() for c in text[i])]
         homes: dict[str, list[int]] = {}
         for i in narrow:
-            key = _key(text[i])
+            key = short[i]
             if key not in homes:
                 homes[key] = next((g for g in groups if _alike(key, _key(text[g[0]]), 0.85)), None) or []
                 if not homes[key]:
@@ -258,17 +286,29 @@ def furniture(lines: list[str], starts: list[int] | None) -> dict[int, str]:
         again = {_key(text[i]) for i, kind in out.items() if kind == "running_head"}
         out.update({i: "running_head" for i in like_title if i in near or text[i].isupper() and len(again) > 0})
         if again:
-            out.update({i: "running_head" for i in short if i not in out and i not in like_title and text[i].strip().isupper() and any(_alike(_key(text[i]), k, 0.8) for k in again)})
-    elif len(like_title) >= 2:
-        gaps = [b - a for a, b in zip([full[0], *like_title], like_title)]
-        if min(gaps) >= 8 and max(gaps) <= 2.5 * min(gaps):
+            out.update({i: "running_head" for i in short if i not in out and i not in like_title and bare[i].isupper() and any(_alike(short[i], k, 0.8) for k in again)})
+    else:
+        like_title, gaps = [], []
+        for i, key in brief_lines():
+            if least <= len(key) <= most and _alike(key, title):
+                gaps.append(i - [full[0], *like_title[-1:]][-1])
+                like_title.append(i)
+                if gaps[-1] < 8:
+                    break
+        if len(gaps) >= 2 and min(gaps) >= 8 and max(gaps) <= 2.5 * min(gaps):
             out.update({i: "running_head" for i in like_title})
+            crossed = [i for i in like_title if where[i] + 1 < len(full) and _goes_on(text[full[where[i] - 1]], text[full[where[i] + 1]])]
+            usual = sorted(len(bare[i]) for i in full)[len(full) // 2]
+            set_off = all(where[i] + 1 < len(full) and full[where[i] - 1] < i - 1 and full[where[i] + 1] > i + 1 and _ENDED.search(bare[full[where[i] - 1]]) for i in like_title)
+            told = 2 * len(crossed) >= len(like_title) or not set_off and all(len(bare[i]) <= 0.75 * usual and _alike(_key(text[i]), title, 0.85) for i in like_title)
     out.pop(full[0], None)
-    return out
+    return out, told
 
 
 def _sound(part: str) -> bool:
     """Letters of one script, with capitals only in front or throughout: no garbled text."""
+    if not part.isalpha():
+        return False
     one = all(c < "\u0250" for c in part) or all("\u0370" <= c <= "\u03ff" or "\u1f00" <= c <= "\u1fff" for c in part) or all("\u0400" <= c <= "\u04ff" for c in part) or all(c > "\u0530" for c in part)
     return one and (len(part) < 2 or part.isupper() or part[1:] == part[1:].lower())
 
@@ -323,9 +363,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from t.combine_chunks().to_batches()
 
     for batch in batches:
-        got = pc.value_counts(_bare(_forms(batch.column(0)).flatten()))
-        held.append(pa.table({"word": got.field("values"), "n": got.field("counts")}))
-        rows += len(got)
+        got = pc.value_counts(pc.utf8_split_whitespace(batch.column(0)).flatten())  # what stands between blanks is taken apart once
+        forms = _forms(got.field("values"))
+        held.append(pa.table({"word": _bare(forms.flatten()), "n": got.field("counts").take(pc.list_parent_indices(forms))}))
+        held[-1] = held[-1].group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"]).select(["word", "n"])
+        rows += len(held[-1])
         if rows > 1_000_000:
             yield from block()
             held, rows = [], 0
@@ -344,7 +386,7 @@ def corpus_lexicon(extractions: DataFrame, doc_lines: DataFrame) -> DataFrame:
 
 
 def signs(lines: DataFrame, odd: DataFrame, small: int = SMALL) -> DataFrame:
-    """(file_id, line_no): lines that may be of a scan; ``odd``: words (low) that a repair is known for.
+    """(file_id, line_no): lines that may be of a scan; ``odd``: words (low) that a repair is known for.  No query chooses files by them.
 
     Up to ``small`` such words (counted) go to all tasks, more are met by a join; the rows are the same.
     """
@@ -374,14 +416,13 @@ def signs(lines: DataFrame, odd: DataFrame, small: int = SMALL) -> DataFrame:
     return found
 
 
-def documents(read: DataFrame, lines: DataFrame, shown: DataFrame) -> DataFrame:
-    """(origin, rec_id, starts, lines) of what may be a scanned document; lines are (n, line) in order.
+def documents(read: DataFrame, lines: DataFrame) -> DataFrame:
+    """(origin, rec_id, starts, lines) of all that may be a scanned document; lines are (n, line) in order.
 
-    ``read``: :func:`scans`; ``lines``: :func:`once`; ``shown``: :func:`signs`.
+    ``read``: :func:`scans`; ``lines``: :func:`once`.  A line without file or number has no place in a document.
     """
     taken = read.select(F.lit("extractions").alias("origin"), F.col("extr_id").alias("rec_id"), F.col("page_starts").alias("starts"), F.transform("text_lines", lambda x, i: F.struct((i + 1).alias("n"), x.alias("line"))).alias("lines"))
-    two = cut(shown.groupBy("file_id").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").select("file_id"))
-    files = lines.join(if_small(two, SMALL), "file_id", "left_semi").groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct(F.col("line_no").alias("n"), "line"))).alias("lines"))
+    files = lines.where("file_id is not null and line_no is not null").groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct(F.col("line_no").alias("n"), "line"))).alias("lines"))
     files = files.select(F.lit("doc_lines").alias("origin"), F.col("file_id").alias("rec_id"), F.lit(None).cast("array<int>").alias("starts"), "lines")
     return taken.unionByName(files)
 
@@ -400,11 +441,15 @@ def _tokens(line: str) -> list[tuple[int, str]]:
 
 def _words(lines: pa.Array) -> pa.ListArray:
     """The words of :func:`_tokens` for many lines at once."""
-    parts = pc.split_pattern_regex(pc.replace_substring_regex(lines, ASIDE, " "), r"[^\p{L}\p{M}0-9@|!+$]+")
+    between = pc.utf8_split_whitespace(pc.replace_substring_regex(lines, ASIDE, " "))
+    coded = between.flatten().dictionary_encode()  # what stands between blanks is taken apart once
+    parts = pc.split_pattern_regex(coded.dictionary, r"[^\p{L}\p{M}0-9@|!+$]+")
     flat = parts.flatten()
     keep = pc.match_substring_regex(flat, r"\p{L}").to_numpy(zero_copy_only=False)
     at = np.concatenate([[0], np.cumsum(keep)])[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
-    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), _bare(flat.filter(pa.array(keep))))
+    lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), _bare(flat.filter(pa.array(keep)))).take(coded.indices)
+    ends = lists.offsets.to_numpy()[between.offsets.to_numpy() - between.offsets[0].as_py()]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lists.flatten())
 
 
 def _numbered(numbers: list[int], lines: list[str]) -> tuple[list[int], list[str], list[int]]:
@@ -434,8 +479,9 @@ def _docs_of(batch: pa.RecordBatch) -> Iterator[tuple]:
     flat = items.flatten()
     numbers, lines = flat.field("n").to_pylist(), flat.field("line").to_pylist()
     for k, (origin, rec, starts) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)))):
-        n, text, place = _numbered(numbers[at[k] : at[k + 1]], lines[at[k] : at[k + 1]])
-        yield origin, rec, starts, n, text, [int(at[k]) + p if p >= 0 else -1 for p in place]
+        first, end = int(at[k]), int(at[k + 1])
+        n, text, place = _numbered(numbers[first:end], lines[first:end])
+        yield origin, rec, starts, n, text, [first + p if p >= 0 else -1 for p in place]
 
 
 def _hashes(words: pa.Array) -> np.ndarray:
@@ -462,25 +508,25 @@ def _rows(count: int, **cols: pa.Array) -> pa.RecordBatch:
 
 def _laid_out(batch: pa.RecordBatch, taken: pa.Array | None, near: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
-    body: tuple[list, ...] = tuple([] for _ in range(7))  # origin, rec_id, line_no, place in the batch, first and last word whole, no furniture
-    for origin, rec, starts, numbers, lines, places in _docs_of(batch):
-        drop = furniture(lines, starts)
+    # of body lines: the document, line_no, place in the batch, first and last word broken, no furniture that speaks for a scan
+    body: tuple[list, ...] = tuple([] for _ in range(6))
+    for doc, (origin, rec, starts, numbers, lines, places) in enumerate(_docs_of(batch)):
+        drop, told = _furniture(lines, starts)
         found = breaks(lines, drop)
-        rows += [(origin, rec, numbers[i], kind, None) for i, kind in drop.items()]
-        rows += [(origin, rec, numbers[i], "hanging" if hanging else "broken_word", (left + right).lower()) for i, _, left, right, hanging in found]
+        rows += [(origin, rec, numbers[i], kind, None, told) for i, kind in drop.items()]
+        rows += [(origin, rec, numbers[i], "hanging" if hanging else "broken_word", (left + right).lower(), True) for i, _, left, right, hanging in found]
         ends = {i for i, *_ in found}
         begins = {j for _, j, *_ in found}
         own = [i for i, x in enumerate(lines) if x and i not in drop]
-        body[0].extend([origin] * len(own))
-        body[1].extend([rec] * len(own))
-        body[2].extend([numbers[i] for i in own])
-        body[3].extend([places[i] for i in own])
-        body[4].extend([i in begins for i in own])
-        body[5].extend([i in ends for i in own])
-        body[6].extend([not drop] * len(own))
-    kinds = ("origin", "rec_id", "line_no", "noise", "word")
+        body[0].extend([doc] * len(own))
+        body[1].extend([numbers[i] for i in own])
+        body[2].extend([places[i] for i in own])
+        body[3].extend([i in begins for i in own] if begins else [False] * len(own))
+        body[4].extend([i in ends for i in own] if ends else [False] * len(own))
+        body[5].extend([not (drop and told)] * len(own))
+    kinds = ("origin", "rec_id", "line_no", "noise", "word", "proof")
     yield _rows(len(rows), **{k: pa.array([x[j] for x in rows], _LAYOUT[k]) for j, k in enumerate(kinds)})
-    texts = batch.column(3).flatten().field("line").take(pa.array(body[3], pa.int64()))
+    texts = batch.column(3).flatten().field("line").take(pa.array(body[2], pa.int64()))
     lists = _words(texts)
     words, first = lists.flatten(), lists.offsets.to_numpy()
     if not len(words):
@@ -500,12 +546,13 @@ def _laid_out(batch: pa.RecordBatch, taken: pa.Array | None, near: np.ndarray |
     asked = np.ones(len(forms), bool) if taken is None else pc.is_in(forms, value_set=taken).to_numpy(zero_copy_only=False)
     at = np.flatnonzero(asked[code])
     place = at - first[of[at]]
-    whole = (place >= np.asarray(body[4], int)[of[at]]) & (place < (sizes - np.asarray(body[5], int))[of[at]])
+    whole = (place >= np.asarray(body[3], int)[of[at]]) & (place < (sizes - np.asarray(body[4], int))[of[at]])
     at, place = at[whole], place[whole]
     line = pa.array(of[at])
+    doc = pa.array(body[0], pa.int64()).take(line)
     proof = np.zeros(len(sizes), bool)
     for k in np.unique(of[at]).tolist():
-        proof[k] = body[6][k] and _reads(texts[k].as_py())
+        proof[k] = body[5][k] and _reads(texts[k].as_py())
 
     def side(k: int) -> tuple[pa.Array, pa.Array]:
         there = (place + k >= 0) & (place + k < sizes[of[at]])
@@ -514,7 +561,7 @@ def _laid_out(batch: pa.RecordBatch, taken: pa.Array | None, near: np.ndarray |
 
     before, after = side(-1), side(1)
     yield _rows(
-        len(at), origin=pa.array(body[0], pa.string()).take(line), rec_id=pa.array(body[1], pa.int64()).take(line), line_no=pa.array(body[2], pa.int32()).take(line), noise=pa.array(["asked"] * len(at), pa.string()),
+        len(at), origin=batch.column(0).take(doc), rec_id=batch.column(1).take(doc), line_no=pa.array(body[1], pa.int32()).take(line), noise=pa.array(["asked"] * len(at), pa.string()),
         word=words.take(pa.array(at)), place=pa.array(place.astype("int32")), low=forms.take(pa.array(code[at])), before=before[0], after=after[0], proof=pa.array(proof).take(line),
         h_before=before[1], h_low=pa.array(hashes[code[at]]), h_after=after[1],
     )
@@ -523,8 +570,8 @@ def _laid_out(batch: pa.RecordBatch, taken: pa.Array | None, near: np.ndarray |
 def layout(docs: DataFrame, fix: DataFrame, small: int = SMALL) -> DataFrame:
     """What each document holds, by ``noise``: its furniture; broken_word and hanging with the joined ``word``; asked:
     the whole words of body lines that ``fix`` (:func:`repairs`) has, with their place among the line's words and their
-    neighbours; pair: how often two words stand together, in a block of documents, by hash.  ``proof``: a misread word in
-    the line would speak for a scan, as it reads as text (only told of documents without furniture).
+    neighbours; pair: how often two words stand together, in a block of documents, by hash.  ``proof``: the furniture, or a
+    misread word in the line, as it reads as text, speaks for a scan (the latter only told of documents whose furniture doesn't).
 
     Up to ``small`` forms (counted) go to all tasks; where there are more, all words are put out and meet them by a join.
     """
@@ -705,25 +752,26 @@ def found(extractions: DataFrame, doc_lines: DataFrame) -> tuple[DataFrame, Data
 
 def read_scans(extractions: DataFrame, doc_lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(cases, repairs, sources, docs): rows (origin, rec_id, line_no, noise), rows (origin, rec_id, line_no, place, word,
-    right), the scanned documents as :func:`documents` has them, and the :func:`layout` of all that were looked at.
+    right), the scanned documents as :func:`documents` has them, and the :func:`layout` of all documents.
     """
     lines, read = cut(once(doc_lines)), scans(extractions)
     counts = cut(lexicon(lines.select("line").unionByName(read.select(F.explode("text_lines").alias("line")))))
     fix = cut(repairs(counts))
-    sources = documents(read, lines, signs(lines, fix.where("sure").select("low").distinct()))
-    docs = cut(layout(sources, fix))
+    docs = cut(layout(documents(read, lines), fix))
     asked = docs.where("noise = 'asked'").where((F.length("word") > 2) | ((F.length("word") == 2) & F.col("word").rlike("\\p{Ll}")))
     read_as = cut(in_context(docs, asked, fix))
     hanging = docs.where("noise = 'hanging'").select("origin", "rec_id", "line_no", "word").join(counts.where(F.col("n") >= KNOWN), "word", "left_semi")
-    cases = docs.where("noise in ('broken_word', 'running_head', 'page_number')").select("origin", "rec_id", "line_no", "noise", F.lit(True).alias("proof"))
+    cases = docs.where("noise in ('broken_word', 'running_head', 'page_number')").select("origin", "rec_id", "line_no", "noise", "proof")
     cases = cases.unionByName(hanging.select("origin", "rec_id", "line_no", F.lit("broken_word").alias("noise"), F.lit(True).alias("proof")))
     cases = cases.unionByName(read_as.select("origin", "rec_id", "line_no", F.lit("misread").alias("noise"), "proof"))
     # a file is a scan by its furniture or by two lines of text with broken or misread words
     words = F.col("noise").isin("broken_word", "misread")
-    proof = cases.where("origin = 'doc_lines'").groupBy("rec_id").agg(F.countDistinct(F.when(words & F.col("proof"), F.col("line_no"))).alias("_w"), F.max((~words).cast("int")).alias("_f"))
-    stray = if_small(cut(proof.where("_f = 0 and _w < 2").select(F.lit("doc_lines").alias("origin"), "rec_id")), SMALL)
+    proof = cases.where("origin = 'doc_lines'").groupBy("rec_id").agg(F.countDistinct(F.when(words & F.col("proof"), F.col("line_no"))).alias("_w"), F.max((~words & F.col("proof")).cast("int")).alias("_f"))
+    proof = cut(proof.select("rec_id", ((F.col("_f") == 1) | (F.col("_w") >= 2)).alias("scan")))
+    stray = if_small(proof.where("not scan").select(F.lit("doc_lines").alias("origin"), "rec_id"), SMALL)
     cases, read_as = cases.drop("proof").distinct(), read_as.drop("proof")
-    return *(df.join(stray, ["origin", "rec_id"], "left_anti") for df in (cases, read_as, sources)), docs
+    sources = documents(read, lines.join(if_small(proof.where("scan").select(F.col("rec_id").alias("file_id")), SMALL), "file_id", "left_semi"))
+    return *(df.join(stray, ["origin", "rec_id"], "left_anti") for df in (cases, read_as)), sources, docs
 
 
 def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -737,29 +785,33 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in fixes or []:
                 by_line.setdefault(x["line_no"], {})[x["place"]] = x["right"]
             parts, current, indent = [], "", None
-            full = [x for i, x in enumerate(lines) if i not in drop and x and x.strip()]
-            base = min((len(x) - len(x.lstrip()) for x in full), default=0)
+            base = 0
+            for i, x in enumerate(lines):
+                if i not in drop and x.strip():
+                    base = min(base or len(x), len(x) - len(x.lstrip()))
+                    if not base:
+                        break
             open_word = False
             for i, x in enumerate(lines):
                 if i in drop:
                     continue
-                x = x or ""
                 if numbers[i] in by_line:
                     for place, (at, word) in reversed(list(enumerate(_tokens(x)))):
                         if right := by_line[numbers[i]].get(place):
                             new = right.upper() if word.isupper() and len(word) > 1 else right.capitalize() if word[:1].isupper() else right
                             x = x[:at] + new + x[at + len(word) :]
-                if not x.strip():
-                    after_furniture = any(k in drop for k in range(max(0, i - 3), min(len(lines), i + 4)))
-                    if current and not open_word and not (after_furniture and not re.search(r"[.!?…][”’\"»')]*\s*$", current)):
-                        parts.append(current)
-                        current = ""
+                bare = x.strip()
+                if not bare:
+                    if current and not open_word:
+                        after_furniture = any(k in drop for k in range(max(0, i - 3), min(len(lines), i + 4)))
+                        if not (after_furniture and not re.search(r"[.!?…][”’\"»')]*\s*$", current)):
+                            parts.append(current)
+                            current = ""
                     continue
-                starts_new = current and not open_word and len(x) - len(x.lstrip()) >= base + 2
-                if starts_new:
+                if current and not open_word and x[0] != bare[0] and len(x) - len(x.lstrip()) >= base + 2:
                     parts.append(current)
                     current = ""
-                current = current + x.strip() if open_word or not current else current + " " + x.strip()
+                current = current + bare if open_word or not current else current + " " + bare
                 open_word = i in joins
                 if open_word:
                     current = re.sub(r"[-‐‑¬­⸗]\s*$", "", current)

@@ -248,3 +248,27 @@ def test_elements_nest():
     assert p2_markup.elements(["<div>", "<ul>", "<li>a</li>", "<li>b<br>", "</ul>", "</div>", "</p>", "<p>"]) == [(0, 5), (1, 4)]
     text = [(1, "<blockquote>"), (2, ""), (3, "words that stand alone"), (5, "</blockquote>")]
     assert [x[0] for x in p2_markup.label(text, p2_markup.potentials())] == ["html", "plain", "plain", "html"]
+
+
+def test_every_file_is_looked_at(spark):
+    text = [f"some words of line {k} that run on over the page and" for k in "abcdefghi"]
+    heads = ["The Silent Tower", "", *text, "The Silent Tower", *text, "Tbe Silent Tower", *text]  # no number, no hyphen, one odd word
+    verse = ["The boats of old go down", *["Nobody knew them all."] * 8, "", "The boats of old go down", *["Nobody knew them all."] * 8, "", "The boats of old go down", "To sea."]
+    known = ["the ban holds still"] * 20 + ["we saw hau dogs run"] * 14 + ["ein bau steht"] * 5  # files that are no scans count pairs
+    real = ["we saw bau dogs run", "today we saw bau dogs run"]  # odd by their neighbours only
+    files = {1: heads, 2: verse, 3: known, 4: real}
+    rows = [(f, n, t) for f, ls in files.items() for n, t in enumerate(ls, 1)]
+    lines = spark.createDataFrame([*rows, (1, None, "a line without number"), (None, 1, "a line-"), (None, 2, "without file")], "file_id long, line_no int, line string")
+    cases = p5_scans.found(scans(spark), lines)[0].where("noise <> 'misread' or rec_id <> 1").collect()
+    assert {(r.rec_id, r.line_no, r.noise) for r in cases} == {(1, 12, "running_head"), (1, 22, "running_head"), (4, 1, "misread"), (4, 2, "misread")}
+    shown = p5_scans.paragraphs(scans(spark), lines).collect()
+    assert {r.rec_id for r in shown} == {1, 4} and " ".join(r.text for r in shown if r.rec_id == 4) == "we saw hau dogs run today we saw hau dogs run"
+
+
+def test_heads_without_numbers_speak_for_a_scan_where_text_goes_on_or_nothing_else_is_like_them():
+    text = ["the mill by the river was old and the tower", "stood there"] * 5
+    told = lambda title, heads, text: p5_scans._furniture([title, "", *(x for h in heads for x in [*text, h]), *text], None)
+    assert told("The Old Tower", ["The Old Tower", "The 0ld Tower"], text) == ({12: "running_head", 23: "running_head"}, True)
+    assert told("The Old Tower", ["The Old Door", "The Old Tree"], [x + "." for x in text])[1] is False  # headings
+    assert told("Boats of old go down", ["Boats of old go down"] * 2, ["Nobody knew them all."] * 9)[1] is False  # a refrain
+    assert p5_scans.breaks(["ÒÑ¾\xad", "àla"], {}) == []  # no letter before the sign
