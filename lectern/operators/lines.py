@@ -29,6 +29,15 @@ def with_blocks(lines: DataFrame) -> DataFrame:
     return base.withColumn("block_id", F.sum(F.col("blank").cast("int")).over(in_order()).cast("int"))
 
 
+def spread(spans: DataFrame, *cols: str) -> DataFrame:
+    """(doc_id, cols, line_no): a row for each line of spans from ``first_line`` to ``last_line``.
+
+    The planner takes this for as small as the file of the spans and would send all lines of the corpus to the
+    driver for a broadcast, so the next join is asked to sort and merge.
+    """
+    return spans.select("doc_id", *cols, F.explode(F.sequence("first_line", "last_line")).alias("line_no")).hint("merge")
+
+
 def blocks(lines: DataFrame) -> DataFrame:
     """One row per run of non-blank lines."""
     full = with_blocks(lines).where(~F.col("blank"))

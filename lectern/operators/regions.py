@@ -22,7 +22,7 @@ from ..functions import headings as H
 from ..functions import text as T
 from ..session import cut
 from . import furniture
-from .lines import in_order, with_blocks
+from .lines import in_order, spread, with_blocks
 
 LABELS = ("header", "licence", "front_matter", "body", "back_matter", "unknown")
 PRECEDENCE = {"unknown": 0, "front_matter": 1, "back_matter": 1, "body": 2, "header": 3, "licence": 3}
@@ -274,9 +274,9 @@ def paint(lines: DataFrame, cand: DataFrame) -> DataFrame:
     (doc_id, line_no) after the intervals are spread, so no theta join is planned.
     """
     prec = F.create_map(*[x for k, v in PRECEDENCE.items() for x in (F.lit(k), F.lit(v))])
-    spread = cand.where("first_line <= last_line").withColumn("_top", F.struct(prec[F.col("label")].alias("p"), "first_line", "ord", "label", "kind", "title", "confidence", "evidence"))
-    spread = spread.select("doc_id", F.explode(F.sequence("first_line", "last_line")).alias("line_no"), "_top")
-    owner = spread.groupBy("doc_id", "line_no").agg(F.max("_top").alias("o"))
+    spans = cand.where("first_line <= last_line").withColumn("_top", F.struct(prec[F.col("label")].alias("p"), "first_line", "ord", "label", "kind", "title", "confidence", "evidence"))
+    spans = spans.select("doc_id", F.explode(F.sequence("first_line", "last_line")).alias("line_no"), "_top")
+    owner = spans.groupBy("doc_id", "line_no").agg(F.max("_top").alias("o"))
     full = lines.withColumn("_b", T.strip(F.coalesce("line", F.lit(""))) == "")
     got = full.join(owner, ["doc_id", "line_no"], "left")
     return got.select(
@@ -330,7 +330,7 @@ def segment(lines: DataFrame) -> DataFrame:
 
 def gaps(lines: DataFrame, regions: DataFrame) -> DataFrame:
     """(doc_id, first_line, last_line): lines with text that no region covers; empty by construction."""
-    covered = regions.select("doc_id", F.explode(F.sequence("first_line", "last_line")).alias("line_no")).distinct()
+    covered = spread(regions).distinct()
     open_ = lines.where(T.strip(F.coalesce("line", F.lit(""))) != "").join(covered, ["doc_id", "line_no"], "left_anti")
     island = F.col("line_no") - F.row_number().over(in_order())
     return open_.withColumn("_g", island).groupBy("doc_id", "_g").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line")).drop("_g")

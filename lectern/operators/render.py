@@ -15,6 +15,7 @@ from ..functions import headings as H
 from ..functions import text as T
 from ..session import cut
 from . import furniture, hyphens, verse
+from .lines import spread
 from .regions import LABELS
 
 STAGES = ("regions", "furniture", "dehyphenate", "reflow", "whitespace")
@@ -80,7 +81,7 @@ def kept_all(lines: DataFrame, regions: DataFrame, variants: list[Variant], fact
     One join of lines and regions serves all variants: a line is then dealt to those that keep it.
     """
     facts = facts or Facts()
-    owned = regions.select("doc_id", "region_idx", "label", F.explode(F.sequence("first_line", "last_line")).alias("line_no"))
+    owned = spread(regions, "region_idx", "label")
     got = lines.join(owned, ["doc_id", "line_no"]).select("doc_id", "line_no", "region_idx", "label", F.coalesce("line", F.lit("")).alias("line"))
     flag = lambda df, name: df.select("doc_id", "line_no").distinct().withColumn(name, F.lit(True))
     for name, found in (("_furniture", facts.furniture), ("_interface", facts.interface)):
