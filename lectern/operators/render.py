@@ -83,14 +83,14 @@ def kept_all(lines: DataFrame, regions: DataFrame, variants: list[Variant], fact
     facts = facts or Facts()
     owned = spread(regions, "region_idx", "label")
     got = lines.join(owned, ["doc_id", "line_no"]).select("doc_id", "line_no", "region_idx", "label", F.coalesce("line", F.lit("")).alias("line"))
-    flag = lambda df, name: df.select("doc_id", "line_no").distinct().withColumn(name, F.lit(True))
+    flag = lambda df, name: df.select("doc_id", "line_no").distinct().withColumn(name, F.lit(True)).hint("merge")
     for name, found in (("_furniture", facts.furniture), ("_interface", facts.interface)):
         got = got.withColumn(name, F.lit(None).cast("boolean")) if found is None else got.join(flag(found, name), ["doc_id", "line_no"], "left")
     stripped = F.col("line")
     if facts.notes is not None and facts.note_pairs is not None:
-        sure = facts.note_pairs.where("paired").select("doc_id", F.col("body_line").alias("first_line"))
-        inside = facts.notes.join(sure, ["doc_id", "first_line"], "left_semi").select("doc_id", F.explode(F.sequence("first_line", "last_line")).alias("line_no"))
-        labels = facts.note_pairs.where("paired").groupBy("doc_id").agg(F.collect_set("label").alias("_labels"))
+        sure = facts.note_pairs.where("paired").select("doc_id", F.col("body_line").alias("first_line")).hint("merge")
+        inside = spread(facts.notes.join(sure, ["doc_id", "first_line"], "left_semi"))
+        labels = facts.note_pairs.where("paired").groupBy("doc_id").agg(F.collect_set("label").alias("_labels")).hint("merge")
         got = got.join(flag(inside, "_note"), ["doc_id", "line_no"], "left").join(labels, "doc_id", "left")
         stripped = F.when(F.col("_labels").isNotNull(), T.strip_notes(F.col("line"), F.col("_labels"))).otherwise(F.col("line"))
     else:
@@ -203,25 +203,25 @@ def removals(lines: DataFrame, regions: DataFrame, variants: list[Variant], fact
     facts = facts or Facts()
     base = regions.withColumn("v", F.explode(F.array(*[F.struct(F.lit(v.name).alias("variant"), F.array(*[F.lit(x) for x in v.drop]).cast("array<string>").alias("drop")) for v in variants]))).withColumn("_k", ~F.array_contains("v.drop", F.col("label")))
     got = base.groupBy("doc_id", "v.variant").agg(F.sum(F.col("_k").cast("int")).alias("regions_kept"), F.sum((~F.col("_k")).cast("int")).alias("regions_dropped"))
-    inside = base.where("_k").select("doc_id", "v.variant", F.explode(F.sequence("first_line", "last_line")).alias("line_no"))
+    inside = spread(base.where("_k"), "v.variant")
     took = {"furniture_removed": (facts.furniture, [v.name for v in variants if v.drop_furniture]), "interface_removed": (facts.interface, [v.name for v in variants if v.drop_interface])}
     away = [v.name for v in variants if v.footnotes in ("remove", "extract")]
     if facts.notes is not None and facts.note_pairs is not None:
-        sure = facts.note_pairs.where("paired")
+        sure = facts.note_pairs.where("paired").hint("merge")
         held = facts.notes.join(sure.select("doc_id", F.col("body_line").alias("first_line")), ["doc_id", "first_line"], "left_semi")
-        took["footnote_lines_removed"] = (held.select("doc_id", F.explode(F.sequence("first_line", "last_line")).alias("line_no")), away)
+        took["footnote_lines_removed"] = (spread(held), away)
         got = got.join(sure.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_p")), "doc_id", "left").withColumn("footnotes_removed", F.when(F.col("variant").isin(*away), F.coalesce("_p", F.lit(0))).otherwise(F.lit(0)) if away else F.lit(0)).drop("_p")
     else:
         got = got.withColumn("footnotes_removed", F.lit(0))
         took["footnote_lines_removed"] = (None, away)
     kept = kept_all(lines, regions, variants, facts).groupBy("doc_id", "variant").agg(F.count(F.lit(1)).alias("lines_kept"))
-    got = got.join(kept, ["doc_id", "variant"], "left")
+    got = got.join(kept.hint("merge"), ["doc_id", "variant"], "left")
     for name, (found, asked) in took.items():
         if found is None or not asked:
             got = got.withColumn(name, F.lit(0))
             continue
         n = inside.where(F.col("variant").isin(*asked)).join(found.select("doc_id", "line_no").distinct(), ["doc_id", "line_no"]).groupBy("doc_id", "variant").agg(F.count(F.lit(1)).alias(name))
-        got = got.join(n, ["doc_id", "variant"], "left")
+        got = got.join(n.hint("merge"), ["doc_id", "variant"], "left")
     return got.na.fill(0)
 
 

@@ -8,6 +8,7 @@ from lectern.plans import queries as core
 # what may not stand under a broadcast in the plan of a query
 CASES = {
     "stress_verdict": "sequence(",
+    "variant_removals": "sequence(",
 }
 
 
@@ -33,3 +34,8 @@ def broadcasts(df):
 @pytest.mark.parametrize("name", sorted(CASES))
 def test_lines_are_not_broadcast(spark, corpus, name):
     assert [b for b in broadcasts(core.queries()[name](spark, corpus)) if CASES[name] in b] == []
+
+
+def test_short_lines_are_not_broadcast(spark, corpus):
+    lines = core._lines(spark, corpus)
+    assert [b for b in broadcasts(furniture.find(lines)) if "FileScan" in b and "Exchange hash" not in b] == []
