@@ -9,6 +9,7 @@ from lectern.plans import queries as core
 CASES = {
     "stress_verdict": "sequence(",
     "variant_removals": "sequence(",
+    "variant_tokens": "sequence(",
 }
 
 
