@@ -10,6 +10,7 @@ CASES = {
     "stress_verdict": "sequence(",
     "variant_removals": "sequence(",
     "variant_tokens": "sequence(",
+    "integration_table": "sequence(",
 }
 
 
