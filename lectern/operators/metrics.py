@@ -37,7 +37,7 @@ def _scores(df: DataFrame) -> DataFrame:
 def invented(lines: DataFrame, rendered: DataFrame) -> DataFrame:
     """(doc_id, variant, line): output lines that the source doesn't have; none without repairs."""
     out = rendered.select("doc_id", "variant", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
-    source = lines.select("doc_id", F.regexp_replace(F.coalesce("line", F.lit("")), "[ \t]+$", "").alias("line")).distinct()
+    source = lines.select("doc_id", F.regexp_replace(F.coalesce("line", F.lit("")), "[ \t]+$", "").alias("line")).distinct().hint("merge")
     return out.join(source, ["doc_id", "line"], "left_anti").select("doc_id", "variant", "line")
 
 

@@ -11,6 +11,7 @@ CASES = {
     "variant_removals": "sequence(",
     "variant_tokens": "sequence(",
     "integration_table": "sequence(",
+    "invented_lines": "regexp_replace(coalesce",
 }
 
 
