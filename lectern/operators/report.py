@@ -87,7 +87,7 @@ def markdown_log(
         told = F.concat_ws(", ", *[F.when(F.col(c) > 0, F.format_string("%d " + c.replace("_", " "), c)) for c in counts])
         parts.append(_lines(removals.where(F.length(told) > 0), "c", F.col("variant"), F.format_string("- %s: %s", F.col("variant"), told)))
     for part in parts:
-        got = got.join(part, "doc_id", "left")
+        got = got.join(part.hint("merge"), "doc_id", "left")  # packed tables look small enough to broadcast
     has = lambda c: F.col(c) if c in got.columns else F.lit(None).cast("string")
     cover = F.when(F.coalesce("u", F.lit(0)) == 0, F.lit("Every line with text is in one region.")).otherwise(F.format_string("WARNING: %d lines are in no region.", "u"))
     origin = F.concat_ws("\n", *[F.format_string(f"- {c.replace('_', ' ')}: %s", F.col(c).cast("string")) for c in SOURCE if c in docs.columns])

@@ -12,6 +12,7 @@ CASES = {
     "variant_tokens": "sequence(",
     "integration_table": "sequence(",
     "invented_lines": "regexp_replace(coalesce",
+    "markdown_log": "collect_list",
 }
 
 
