@@ -346,12 +346,12 @@ def label_totals(lines: DataFrame, regions: DataFrame) -> DataFrame:
 def roll_up(regions: DataFrame, words: DataFrame) -> DataFrame:
     """(doc_id, region_idx, own_words, total_words): words of a region and of all below it (there are at most ``LEVELS``)."""
     own = cut(regions.select("doc_id", "region_idx", "parent").join(words.select("doc_id", "region_idx", "own_words"), ["doc_id", "region_idx"], "left").na.fill(0, ["own_words"]))
-    up = own.select("doc_id", F.col("region_idx").alias("holder"), F.col("parent").alias("_up"))
+    up = own.select("doc_id", F.col("region_idx").alias("holder"), F.col("parent").alias("_up")).hint("merge")
     holds = level = own.select("doc_id", "region_idx", "own_words", F.col("region_idx").alias("holder"))
     for _ in range(LEVELS - 1):
         level = level.join(up, ["doc_id", "holder"]).where("_up is not null").select("doc_id", "region_idx", "own_words", F.col("_up").alias("holder"))
         holds = holds.unionByName(level)
-    total = holds.groupBy("doc_id", F.col("holder").alias("region_idx")).agg(F.sum("own_words").alias("total_words"))
+    total = holds.groupBy("doc_id", F.col("holder").alias("region_idx")).agg(F.sum("own_words").alias("total_words")).hint("merge")
     return own.select("doc_id", "region_idx", "own_words").join(total, ["doc_id", "region_idx"])
 
 

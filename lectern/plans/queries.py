@@ -307,7 +307,7 @@ def region_label_totals(spark: SparkSession, d: str) -> DataFrame:
 def region_roll_up(spark: SparkSession, d: str) -> DataFrame:
     lines = _lines(spark, d)
     seg = cut(regions.segment(lines))
-    owned = seg.select("doc_id", "region_idx", F.explode(F.sequence("first_line", "last_line")).alias("line_no"))
+    owned = L.spread(seg, "region_idx")
     words = owned.join(lines, ["doc_id", "line_no"]).groupBy("doc_id", "region_idx").agg(F.sum(F.size(T.words(F.col("line")))).alias("own_words"))
     return regions.roll_up(seg, words)
 

@@ -13,6 +13,7 @@ CASES = {
     "integration_table": "sequence(",
     "invented_lines": "regexp_replace(coalesce",
     "markdown_log": "collect_list",
+    "region_roll_up": "BroadcastExchange",
 }
 
 
