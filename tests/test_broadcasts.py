@@ -14,6 +14,7 @@ CASES = {
     "invented_lines": "regexp_replace(coalesce",
     "markdown_log": "collect_list",
     "region_roll_up": "BroadcastExchange",
+    "variant_delta": "sequence(",
 }
 
 
