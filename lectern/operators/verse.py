@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import cut
-from .lines import in_order, with_blocks, wrapped
+from .lines import in_order, spread, with_blocks, wrapped
 
 CLOSERS = r"(?:[.,;:!?\"'’”—]|--)$"
 WINDOW, RATE, LEAST = 6, 0.45, 3
@@ -96,7 +96,7 @@ def reflow(lines: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     heading, a single line, or of a document that isn't hard-wrapped; those keep their lines.
     """
     spans = protected_spans(lines) if spans is None else spans
-    inside = spans.select("doc_id", F.explode(F.sequence("first_line", "last_line")).alias("line_no")).withColumn("_kept", F.lit(1))
+    inside = spread(spans).withColumn("_kept", F.lit(1))
     full = with_blocks(lines).where(~F.col("blank")).join(inside, ["doc_id", "line_no"], "left").join(wrapped(lines).select("doc_id", "is_wrapped"), "doc_id")
     grouped = full.groupBy("doc_id", "block_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_l"), F.max("_kept").alias("_kept"), F.first("is_wrapped").alias("_wrapped"))
     rows = F.transform("_l", lambda x: x["line"])

@@ -15,6 +15,7 @@ CASES = {
     "markdown_log": "collect_list",
     "region_roll_up": "BroadcastExchange",
     "variant_delta": "sequence(",
+    "variant_repaired": "sequence(",
 }
 
 
