@@ -44,7 +44,7 @@ def invented(lines: DataFrame, rendered: DataFrame) -> DataFrame:
 def fidelity(lines: DataFrame, rendered: DataFrame) -> DataFrame:
     """(doc_id, variant, output_lines, invented_lines): lines with text, and those of them that the source doesn't have."""
     out = rendered.select("doc_id", "variant", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
-    source = lines.select("doc_id", F.regexp_replace(F.coalesce("line", F.lit("")), "[ \t]+$", "").alias("line")).distinct().withColumn("_own", F.lit(1))
+    source = lines.select("doc_id", F.regexp_replace(F.coalesce("line", F.lit("")), "[ \t]+$", "").alias("line")).distinct().withColumn("_own", F.lit(1)).hint("merge")
     both = out.join(source, ["doc_id", "line"], "left")
     return both.groupBy("doc_id", "variant").agg(F.count(F.lit(1)).alias("output_lines"), F.sum(F.col("_own").isNull().cast("int")).alias("invented_lines"))
 

@@ -16,6 +16,7 @@ CASES = {
     "region_roll_up": "BroadcastExchange",
     "variant_delta": "sequence(",
     "variant_repaired": "sequence(",
+    "verbatim_fidelity": "sequence(",
 }
 
 
