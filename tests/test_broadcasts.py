@@ -17,6 +17,7 @@ CASES = {
     "variant_delta": "sequence(",
     "variant_repaired": "sequence(",
     "verbatim_fidelity": "sequence(",
+    "json_log": "collect_list",
 }
 
 
