@@ -18,6 +18,7 @@ CASES = {
     "variant_repaired": "sequence(",
     "verbatim_fidelity": "sequence(",
     "json_log": "collect_list",
+    "variant_text": "sequence(",
 }
 
 
